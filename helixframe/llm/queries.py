@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this folder that hold queries.
-MODULES = ["op2_fingerprints", "op3_packing", "op4_secret_scans", "op5_substring_dedup", "op6_quality_rules", "op7_jaccard_join", "op8_mixing", "op9_license_scans", "op10_quality_classifier"]
+MODULES = ["op1_suffix_dedup", "op2_fingerprints", "op3_packing", "op4_secret_scans", "op5_substring_dedup", "op6_quality_rules", "op7_jaccard_join", "op8_mixing", "op9_license_scans", "op10_quality_classifier"]
 
 
 def queries() -> dict:
