@@ -143,10 +143,10 @@ def trigrams_of(query: Query) -> set[str]:
 # ---- index and search
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key that tells rows apart, also where ids repeat or are null."""
+def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """doc_id, text, the columns ``keep`` and the key that tells rows apart, also where ids repeat or are null."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    return docs.select("doc_id", text.alias("text"), *keep).withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
 
 
 def build_index(keyed_docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -205,13 +205,13 @@ def scan_pattern(rule: Rule) -> Rule:
     return Rule(rule.kind, rule.pattern[:-1] + f"{{{rule.at_least},}}", 0, 0) if single and rule.at_least else rule
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of ``docs`` as doc_id, text (null as empty) and ``spans``: sorted structs (start, rank, kind, end).
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Every row of ``docs`` as doc_id, text (null as empty), ``keep`` and ``spans``: sorted structs (start, rank, kind, end).
 
     Rows with equal ids or texts are told apart or give equal spans; an empty table gives no rows.
     """
     asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ALL}
-    rows = keyed(docs)
+    rows = keyed(docs, keep)
     if asked:
         postings = build_index(rows, sorted(set().union(*map(trigrams_of, asked.values()))))
         found = search(postings, asked).withColumnRenamed("_key", "_found")
@@ -226,7 +226,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             spans.append(F.when(F.array_contains("kinds", rule.kind), located(text, rule, rank)).otherwise(nothing))
         else:
             spans.append(F.when(text.rlike(scan_pattern(rule).pattern), located(text, scan_pattern(rule), rank)).otherwise(nothing))
-    return rows.select("doc_id", "text", F.sort_array(F.concat(*spans)).alias("spans"))
+    return rows.select("doc_id", "text", *keep, F.sort_array(F.concat(*spans)).alias("spans"))
 
 
 def spelled_out(spans: Column) -> Column:

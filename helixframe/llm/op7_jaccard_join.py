@@ -23,7 +23,7 @@ from . import sketch
 from .arrays import ODD_A, Rolling, U, mix, split_words, steps, window_starts
 from .common import documents, drop_table, mapped, written
 from .components import components
-from .op5_substring_dedup import first_in_order, shingle_count
+from .op5_substring_dedup import first_in_order, shingle_count, text_hash
 
 #: Documents at most on which frequent shingles are counted, the share of them that makes a shingle frequent, and how
 #: many such shingles are kept.  They only set the order of the shingles; any order gives the same result.
@@ -373,31 +373,52 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
     return found
 
 
-def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
-    """Every row of ``docs`` as doc_id, n_shingles and component_id, the smallest doc_id that links reach from it.
-
-    Documents without words (null and empty texts) have no shingles and are their own components.  Equal sets always
-    link.  Rows without an id take part, but a component's id is null only where no row of it has one.
-    """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): each row's doc_id, text hash _h, n_shingles and _node; each node's _root, its component's name."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), text_hash(text).alias("_h"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in steps(big):
                 s = shingle_sets(batch.column("text"), join)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s.size.astype(np.int64)), pa.array(s.node)], ["doc_id", "n_shingles", "_node"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_h"), pa.array(s.size.astype(np.int64)), pa.array(s.node)], ["doc_id", "_h", "n_shingles", "_node"])
 
-    own = written(mapped(rows, sizes, f"doc_id {kind}, n_shingles long, _node long"))
+    own = written(mapped(rows, sizes, f"doc_id {kind}, _h int, n_shingles long, _node long"))
     roots = components(links(rows, join), "a", "b")
-    nodes = own.filter("n_shingles > 0").groupBy("_node").agg(F.min("doc_id").alias("_least"))
-    nodes = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_root"), "_least")
-    least = nodes.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    # minima come before the exchanges, so equal sets cost one row a partition
+    nodes = own.filter("n_shingles > 0").groupBy("_node").agg(F.min(F.struct("doc_id", "_h")).alias("_least"), F.min("doc_id").alias("_id"))
+    nodes = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_root"), "_least", "_id")
+    return own, nodes
+
+
+def jaccard_components(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
+    """Every row of ``docs`` as doc_id, n_shingles and component_id, the smallest doc_id that links reach from it.
+
+    Documents without words (null and empty texts) have no shingles and are their own components.  Equal sets always
+    link.  Rows without an id take part, but a component's id is null only where no row of it has one.
+    """
+    own, nodes = classes(docs, join)
+    least = nodes.groupBy("_root").agg(F.min("_id").alias("component_id"))
     named = nodes.join(least, "_root").select(F.col("_node").alias("_named"), "component_id")
     out = own.join(named, (F.col("_node") == F.col("_named")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, join: Join = Join(5, 80)) -> DataFrame:  # noqa: B008
+    """The rows of ``docs`` with the smallest doc_id of each component, and those without words; all columns stay.
+
+    Rows with one id and text count as one, and one of them stays.
+    """
+    own, nodes = classes(docs, join)
+    kept = nodes.groupBy("_root").agg(F.min("_least").alias("k")).select("k.doc_id", "k._h")
+    kept = kept.union(own.filter("n_shingles = 0").select("doc_id", "_h").distinct()).select(F.col("doc_id").alias("_kept"), F.col("_h").alias("_kept_h"))
+    rows = docs.withColumn("_h", text_hash(F.coalesce("text", F.lit(""))))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_kept_h")))
+    return rows.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
