@@ -5,8 +5,8 @@ last, two sets of similarity t share one of their first n - ceil(t n) + 1 shingl
 common are a tile, in order of size, and only sizes within the band of t can link.  In a tile, each pair's bitmaps (the
 parity of the shingles hashed to each bit) bound the overlap from above: the bits that differ are no more than the
 shingles that differ.  Pairs that pass are thinned to those that join parts of the tile, and their sorted sets are
-intersected exactly.  Where a pair fails, its part goes through the tiles again with larger bitmaps, and at last pair by
-pair, so no link between different sets is lost.  A count-min sketch spares shingles that only one set begins with.
+intersected exactly.  Where a pair fails, the sets of its part are compared exactly in one place (of a very large part all
+pairs that pass larger bitmaps), so no link between different sets is lost.  A count-min sketch spares shingles that only one set begins with.
 """
 
 from __future__ import annotations
@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .arrays import ODD_A, Rolling, U, mix, split_words, steps, window_starts
-from .common import documents, drop_table, mapped, written
+from .common import documents, mapped, written
 from .components import components
 from .op5_substring_dedup import first_in_order, shingle_count, text_hash
 
 #: Documents at most on which frequent shingles are counted, the share of them that makes a shingle frequent, and how
 #: many such shingles are kept.  They only set the order of the shingles; any order gives the same result.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 5000, 0.002, 100_000
-#: Bits of a bitmap for each shingle in the rounds; in the last one all pairs that pass are verified.
-BITS = (0.5, 4.0, 16.0, 16.0)
+#: Bits of a bitmap for each shingle in the tiles, and where a part in which a pair failed is settled.
+BITS, SETTLE_BITS = 0.5, 16.0
+#: Nodes up to which such a part's sets meet in one task; the pairs of larger ones go through the tiles again, all of them.
+MOST_PART = 20_000
 LEAST_BITS, MOST_BITS = 64, 1 << 17
 #: Tiles of more nodes are joined node by node against the parts found so far.
 SMALL_TILE = 256
@@ -172,12 +174,11 @@ def tile_pairs(token: np.ndarray, who: np.ndarray, tiles: Tiles, every: bool) ->
     """
     parts = Parts(len(tiles.node))
     found: list[tuple[int, int]] = []
+    passed: list[np.ndarray] = []
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
-        pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0)
-        for x, y in pairs[tiles.may_link(pairs[:, 0], pairs[:, 1])].tolist():
-            if every or parts.unite(x, y):
-                found.append((x, y))
+        pairs = np.unique(np.minimum(i, j).astype(np.int64) << 32 | np.maximum(i, j))
+        passed.append(pairs[tiles.may_link(pairs >> 32, pairs & 0xFFFFFFFF)])
 
     start = np.flatnonzero(first_in_order([token]))
     number = np.diff(np.r_[start, len(token)])
@@ -194,6 +195,11 @@ def tile_pairs(token: np.ndarray, who: np.ndarray, tiles: Tiles, every: bool) ->
             held.clear()
     if held:
         take(*map(np.concatenate, zip(*held, strict=True)))
+    # in order of the smaller node: parts become stars around it, and all shards choose the same pairs
+    for pair in np.unique(np.concatenate(passed)).tolist() if passed else []:
+        x, y = pair >> 32, pair & 0xFFFFFFFF
+        if every or parts.unite(x, y):
+            found.append((x, y))
     for s, n in zip(start[number > SMALL_TILE].tolist(), number[number > SMALL_TILE].tolist(), strict=True):
         if every:
             break
@@ -201,9 +207,9 @@ def tile_pairs(token: np.ndarray, who: np.ndarray, tiles: Tiles, every: bool) ->
         sizes, label = tiles.size[rows], np.arange(n)
         for i in range(1, n):
             low = int(np.searchsorted(sizes[:i], -(-share * int(sizes[i]) // 100)))
-            # first one node of each part in the band, then all nodes of the parts that did not pass
-            _, last = np.unique(label[low:i][::-1], return_index=True)
-            for among in (i - 1 - last, None):
+            # first the smallest node of each part in the band, then all nodes of the parts that did not pass
+            by_node = low + np.argsort(rows[low:i])
+            for among in (by_node[np.unique(label[by_node], return_index=True)[1]], None):
                 if among is None:
                     among = low + np.flatnonzero(label[low:i] != label[i])
                 for j in among[tiles.may_link(rows[among], np.full(len(among), rows[i]))].tolist():
@@ -316,9 +322,8 @@ def filter_of(nodes: DataFrame, expected: int) -> sketch.Filter:
     return sketch.build(nodes, lambda batch: batch.column(0).to_numpy().view(U), expected, at_least=1)
 
 
-def verified(rows: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """``pairs`` with ``linked``: exact intersections of the sorted sets."""
-    needed = filter_of(nodes_of(pairs), 2 * pairs.count())
+def spelled_sets(rows: DataFrame, needed: sketch.Filter, join: Join) -> DataFrame:
+    """(node, tokens): the sorted sets of the nodes that the filter holds."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -328,6 +333,14 @@ def verified(rows: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
                 s = pick(s, np.flatnonzero(needed.holds(s.node.view(U))))
                 yield pa.RecordBatch.from_arrays([pa.array(s.node), pa.array([s.tokens[a:b].tobytes() for a, b in zip(s.at, s.at[1:], strict=False)], pa.binary())], ["node", "tokens"])
 
+    # a set comes once from each partition that has it; the copies are equal
+    return mapped(rows.select("text"), spell, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+
+
+def verified(rows: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """``pairs`` with ``linked``: exact intersections of the sorted sets."""
+    needed = filter_of(nodes_of(pairs), 2 * pairs.count())
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -337,13 +350,59 @@ def verified(rows: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
                 out.append(bool(join.linked(both, len(x), len(y))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
-    # a set comes once from each partition that has it; the copies are equal
-    sets = mapped(rows.select("text"), spell, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    sets = spelled_sets(rows, needed, join)
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     return mapped(both, compare, "a long, b long, linked boolean")
 
 
+def exact_links(node: np.ndarray, sets: list[np.ndarray], join: Join) -> list[tuple[int, int]]:
+    """Links that connect what is connected among the given sets: each set meets the parts found so far, by size."""
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.lexsort((node, size))
+    node, size, sets = node[order], size[order], [sets[i] for i in order.tolist()]
+    s = Sets(np.concatenate(sets), np.r_[0, np.cumsum(size)], node)
+    tiles = Tiles(node, size, *bitmaps(s, SETTLE_BITS), join)
+    label, found = np.arange(len(node)), []
+    for i in range(1, len(node)):
+        low = int(np.searchsorted(size[:i], -(-join.share * int(size[i]) // 100)))
+        by_node = low + np.argsort(node[low:i])
+        for among in (by_node[np.unique(label[by_node], return_index=True)[1]], None):
+            if among is None:
+                among = low + np.flatnonzero(label[low:i] != label[i])
+            for j in among[tiles.may_link(among, np.full(len(among), i))].tolist():
+                if label[j] != label[i] and join.linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), int(size[i]), int(size[j])):
+                    label[label == label[j]] = label[i]
+                    found.append((int(node[j]), int(node[i])))
+    return found
+
+
+def settled(rows: DataFrame, parts: DataFrame, join: Join) -> DataFrame:
+    """(a, b): exact links inside each of the parts (node, root), whose sets meet in one place."""
+    needed = filter_of(parts.select("node"), parts.count())
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, nodes, sets = None, [], []
+
+        def part() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                found = np.array(exact_links(np.array(nodes, np.int64), sets, join), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found[:, 0], found[:, 1])), pa.array(np.maximum(found[:, 0], found[:, 1]))], ["a", "b"])
+
+        for batch in batches:
+            for of, node, tokens in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if of != root:
+                    yield from part()
+                    root, nodes, sets = of, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(tokens, U))
+        yield from part()
+
+    sets = spelled_sets(rows, needed, join).withColumnRenamed("node", "_n")
+    met = parts.select("root", "node").join(sets, F.col("node") == F.col("_n")).select("root", "node", "tokens")
+    return mapped(met.repartition(F.col("root")).sortWithinPartitions("root"), settle, "a long, b long")
+
+
 def links(rows: DataFrame, join: Join) -> DataFrame:
     """(a, b): links between different sets, enough of them to connect all that are connected."""
     words = shingle_count(rows)
@@ -354,22 +413,21 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
         return np.concatenate([beginnings(distinct_sets(batch, join, seen), join, frequent)[1] for batch in steps(big)] or [np.zeros(0, U)])
 
     shared = sketch.build(rows.select("text"), first_ones, int(words * (1 - join.share / 100)))
-    found, only = None, None
-    for turn, each in enumerate(BITS):
-        every = turn == len(BITS) - 1
-        pairs = written(candidate_pairs(rows, join, frequent, shared, words, each, every, only))
-        told = written(verified(rows, pairs, join))
-        good = told.filter("linked").select("a", "b")
-        found = good if found is None else found.union(good)
-        failed = told.filter("not linked")
-        if every or failed.isEmpty():
-            break
-        # the parts of this round in which a pair failed go on
-        parts = components(pairs, "a", "b")
-        again = parts.join(nodes_of(failed), "node").select("root").distinct()
-        again = written(parts.join(again, "root").select("node"))
-        only = filter_of(again, again.count())
-        drop_table(rows.sparkSession, pairs)
+    pairs = written(candidate_pairs(rows, join, frequent, shared, words, BITS, False, None))
+    told = written(verified(rows, pairs, join))
+    found, failed = told.filter("linked").select("a", "b"), told.filter("not linked")
+    if failed.isEmpty():
+        return found
+    # all links of a part lie inside it, so only the parts in which a pair failed are looked at again
+    parts = components(pairs, "a", "b")
+    again = parts.join(nodes_of(failed), "node").select("root").distinct()
+    again = written(parts.join(parts.join(again, "root").groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select("node", "root", "n"))
+    found = found.union(settled(rows, again.filter(F.col("n") <= MOST_PART), join))
+    large = again.filter(F.col("n") > MOST_PART).select("node")
+    if not large.isEmpty():
+        only = filter_of(large, large.count())
+        every = written(candidate_pairs(rows, join, frequent, shared, words, SETTLE_BITS, True, only))
+        found = found.union(verified(rows, every, join).filter("linked").select("a", "b"))
     return found
 
 
