@@ -21,53 +21,49 @@ def symbolic(alt: Column) -> Column:
     return F.exists(F.split(alt, ","), lambda a: a.startswith("<")) | alt.contains("[") | alt.contains("]")
 
 
-def _aligned(rows: DataFrame, context: Column, most: Column | int, limit: int) -> DataFrame:
-    """Adds _k, the places to move left, _r and _a: the alleles cut out of context || allele.
-
-    Both strings get the same bases in front, so the move is the length of their common suffix, and at most ``most``.
-    """
-    r, a = F.concat(context, F.col("ref")), F.concat(context, F.col("alt"))
-    k = F.least(common_prefix(F.reverse(r), F.reverse(a), limit), most if isinstance(most, Column) else F.lit(most))
-    rows = rows.withColumn("_r0", r).withColumn("_a0", a).withColumn("_k", k.cast("int"))
-    cut = lambda whole, allele: F.substring(whole, F.char_length(whole) - F.col("_k") - F.char_length(allele) + 1, F.char_length(allele))
-    return rows.withColumn("_r", cut(F.col("_r0"), F.col("ref"))).withColumn("_a", cut(F.col("_a0"), F.col("alt"))).drop("_r0", "_a0")
+def _shift(context: Column, limit: int) -> Column:
+    """Places to move left, given the bases before: the common suffix of context || REF and context || ALT."""
+    shared = common_prefix(F.reverse(F.concat(context, F.col("ref"))), F.reverse(F.concat(context, F.col("alt"))), limit)
+    return F.least(shared, F.char_length(context))
 
 
 def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
-    """Rows with one alternative (columns chrom, pos, ref, alt, _key) with indels at their leftmost place; adds _moved.
+    """Rows (columns chrom, pos, ref, alt, _first, _seq, _one, _key) with indels at their leftmost place; adds _moved.
 
-    The suffix that both alleles share goes, with bases of the reference coming in at the front, and then the prefix they
-    share but for one base.  Rows on unknown contigs stay.
+    ``_one``: has a single alternative with bases.  The suffix that both alleles share goes, with bases of the reference
+    coming in at the front, and then the prefix they share but for one base.  Rows on unknown contigs stay.  One pass
+    serves all repeats that end inside the chunk's overlap; longer ones see the whole contig before them.
     """
-    place = to_long(F.col("pos"))
-    rows = rows.withColumn("_p", place)
     known = reference.length_of(F.col("chrom"))
-    indel = (F.char_length("ref") != F.char_length("alt")) & known.isNotNull() & (F.col("_p") >= 1)
+    rows = rows.withColumn("_p", to_long(F.col("pos")))
+    indel = F.col("_one") & (F.char_length("ref") != F.char_length("alt")) & known.isNotNull() & (F.col("_p") >= 1)
     rows = rows.withColumn("_indel", F.coalesce(indel, F.lit(False))).withColumn("_left", F.when(F.col("_p") - 2 < known, F.col("_p") - 1).otherwise(F.lit(0)))
-    still = rows.filter(~F.col("_indel")).drop("_p", "_indel", "_left").withColumn("_moved", F.lit(False))
-    work = reference.joined(rows.filter("_indel"), F.greatest(F.col("_p") - 1, F.lit(0)))
 
     def before(n: int) -> Column:
         """Up to n bases before the record, in upper case, from its chunk."""
         many = F.least(F.lit(n), F.col("_left"), F.greatest(F.col("_p") - 1 - F.col("_first"), F.lit(0)))
-        many = F.when(F.col("_seq").isNotNull(), many).otherwise(F.lit(0))
         return F.upper(F.coalesce(F.substring("_seq", (F.col("_p") - F.col("_first") - many).cast("int"), many.cast("int")), F.lit("")))
 
-    near = _aligned(work.withColumn("_c", before(NEAR)), F.col("_c"), F.char_length("_c"), NEAR)
-    open_ = (F.col("_k") == F.char_length("_c")) & (F.col("_k") < F.col("_left"))
-    wide = _aligned(near.filter(open_).drop("_c", "_k", "_r", "_a").withColumn("_c", before(reference.overlap)), F.col("_c"), F.char_length("_c"), reference.overlap)
-    # a repeat that fills the chunk's overlap as well: the whole contig before the record
-    most = max([1, *reference.lengths.values()])
-    rest = reference.stretch(wide.filter(open_).drop("_c", "_k", "_r", "_a"), F.lit(0).cast("bigint"), F.col("_left"), ["_key"], "_c")
-    far = _aligned(rest.withColumn("_c", F.upper(F.coalesce("_c", F.lit("")))), F.col("_c"), F.char_length("_c"), most)
-    moved = near.filter(~open_).unionByName(wide.filter(~open_)).unionByName(far)
+    near, wide = min(NEAR, reference.overlap), reference.overlap
+    rows = rows.withColumn("_c", F.when(F.col("_indel"), before(near))).withColumn("_k", F.when(F.col("_indel"), _shift(F.col("_c"), near)))
+    full = F.coalesce((F.col("_k") == F.char_length("_c")) & (F.col("_k") < F.col("_left")), F.lit(False))
+    if wide > near:
+        rows = rows.withColumn("_full", full).withColumn("_c", F.when(F.col("_full"), before(wide)).otherwise(F.col("_c")))
+        rows = rows.withColumn("_k", F.when(F.col("_full"), _shift(F.col("_c"), wide)).otherwise(F.col("_k"))).drop("_full")
+    if (longest := max([0, *reference.lengths.values()])) > wide:
+        rest = reference.stretch(rows.filter(full).drop("_c", "_k"), F.lit(0).cast("bigint"), F.col("_left"), ["_key"], "_c")
+        rest = rest.withColumn("_c", F.upper(F.coalesce("_c", F.lit("")))).withColumn("_k", _shift(F.col("_c"), longest))
+        rows = rows.filter(~full).unionByName(rest)
+    cut = lambda allele: F.when(F.col("_indel"), F.substring(F.concat("_c", allele), F.char_length("_c") - F.col("_k") + 1, F.char_length(allele)))
+    rows = rows.withColumn("_r", cut(F.col("ref"))).withColumn("_a", cut(F.col("alt")))
     shorter = F.least(F.char_length("_r"), F.char_length("_a")) - 1
-    j = F.least(common_prefix(F.col("_r"), F.col("_a"), 1 << 16), shorter)
-    moved = moved.withColumn("_j", j).withColumn("_np", (F.col("_p") - F.col("_k") + F.col("_j")).cast("string"))
-    moved = moved.withColumn("_nr", F.substring("_r", F.col("_j") + 1, F.char_length("_r"))).withColumn("_na", F.substring("_a", F.col("_j") + 1, F.char_length("_a")))
-    moved = moved.withColumn("_moved", (F.col("_np") != F.col("_p").cast("string")) | (F.col("_nr") != F.col("ref")) | (F.col("_na") != F.col("alt")))
-    moved = moved.withColumn("pos", F.when(F.col("_moved"), F.col("_np")).otherwise(F.col("pos"))).withColumn("ref", F.col("_nr")).withColumn("alt", F.col("_na"))
-    return still.unionByName(moved.select(*still.columns))
+    rows = rows.withColumn("_j", F.when(F.col("_indel"), F.least(common_prefix(F.col("_r"), F.col("_a"), 1 << 16), shorter)))
+    rows = rows.withColumn("_np", F.col("_p") - F.col("_k") + F.col("_j"))
+    rows = rows.withColumn("_nr", F.substring("_r", F.col("_j") + 1, F.char_length("_r"))).withColumn("_na", F.substring("_a", F.col("_j") + 1, F.char_length("_a")))
+    moved = F.coalesce((F.col("_np") != F.col("_p")) | (F.col("_nr") != F.col("ref")) | (F.col("_na") != F.col("alt")), F.lit(False))
+    rows = rows.withColumn("_moved", moved).withColumn("pos", F.when(F.col("_moved"), F.col("_np").cast("string")).otherwise(F.col("pos")))
+    rows = rows.withColumn("ref", F.coalesce("_nr", "ref")).withColumn("alt", F.coalesce("_na", "alt"))
+    return rows.drop("_p", "_indel", "_left", "_c", "_k", "_r", "_a", "_j", "_np", "_nr", "_na")
 
 
 def normalize(vs: VariantSet, reference: Reference | None = None, split: bool = True, left_align: bool = True, check_ref: str = "warn", fast: bool = False) -> VariantSet:
@@ -88,16 +84,17 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
     past = F.coalesce(to_long(F.col("pos")) > limit, F.lit(False))
     rows = rows.withColumn("_oob", past & ~F.col("_sym") if fast else past)
     rows = rows.filter(~F.col("_short")).drop("_short").withColumn("_key", F.monotonically_increasing_id())
-    rows = rows.withColumn("_mismatch", F.lit(False)).withColumn("_past_end", F.lit(False))
-    if check_ref != "ignore":
-        rows = rows.drop("_mismatch", "_past_end")
-        place = F.greatest(to_long(F.col("pos")) - 1, F.lit(0))
+    place = F.greatest(to_long(F.col("pos")) - 1, F.lit(0))
+    if reference is not None and (left_align or check_ref != "ignore"):
         rows = reference.joined(rows, place)
+    if check_ref == "ignore":
+        rows = rows.withColumn("_mismatch", F.lit(False)).withColumn("_past_end", F.lit(False))
+    else:
         base = F.substring("_seq", (place - F.col("_first") + 1).cast("int"), 1)
         subject = ~F.col("_sym") & ~F.col("_oob")
         past_end = subject & (place >= reference.length_of(F.col("chrom"))) & ~F.lit(fast)
         rows = rows.withColumn("_mismatch", F.coalesce(subject & (base != "") & (F.upper(base) != F.upper(F.substring("ref", 1, 1))), F.lit(False)))
-        rows = rows.withColumn("_past_end", F.coalesce(past_end, F.lit(False))).drop("_first", "_seq")
+        rows = rows.withColumn("_past_end", F.coalesce(past_end, F.lit(False)))
     many = F.col("alt").contains(",") & ~F.col("_sym")
     figures = rows.agg(F.count(F.lit(1)).alias("input"), F.count_if(F.col("_oob")).alias("out_of_bounds"), F.count_if(F.col("_mismatch")).alias("ref_mismatches"), F.count_if(many & ~F.col("_oob") & F.lit(split)).alias("split_sites"))
     if check_ref == "error":
@@ -112,9 +109,8 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
     out = out.withColumn("samples", F.when(F.col("_cut"), rewritten_samples(F.col("samples"), F.col("format"), header, k, False)).otherwise(F.col("samples")))
     out = out.withColumn("_moved", F.lit(False))
     if left_align:
-        one = ~F.col("_sym") & ~F.col("alt").contains(",")
-        out = out.drop("_moved").withColumn("_key", F.concat_ws(":", "_key", "alt_idx"))
-        out = left_aligned(out.filter(one), reference).unionByName(out.filter(~one).withColumn("_moved", F.lit(False)))
+        out = out.drop("_moved").withColumn("_key", F.concat_ws(":", "_key", "alt_idx")).withColumn("_one", ~F.col("_sym") & ~F.col("alt").contains(","))
+        out = left_aligned(out, reference)
     snp = F.char_length("ref") == F.char_length("alt")
     raw = (snp | F.lit(not left_align) | F.col("_sym")) & ~F.col("_cut") & ~F.col("alt").contains(",") | F.col("_sym") if fast else F.lit(False)
     out = out.withColumn("_raw", raw)
