@@ -146,18 +146,18 @@ def trigrams_of(query: Query) -> set[str]:
 def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
     """doc_id, text, the columns ``keep`` and the key that tells rows apart, also where ids repeat or are null."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), *keep).withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    return docs.select("doc_id", text.alias("text"), *keep).withColumn("__key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
 
 
 def build_index(keyed_docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, _key): for each of the trigrams the documents whose lower-cased text has it."""
+    """Postings (trigram, __key): for each of the trigrams the documents whose lower-cased text has it."""
     lower = F.lower("text")
-    has = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("_lower"), t))
-    return keyed_docs.withColumn("_lower", lower).select("_key", F.explode(has).alias("trigram"))
+    has = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("__lower"), t))
+    return keyed_docs.withColumn("__lower", lower).select("__key", F.explode(has).alias("trigram"))
 
 
 def search(postings: DataFrame, asked: dict[str, Query]) -> DataFrame:
-    """(_key, kinds): the documents that fulfil some of the queries, and which.  Postings meet by document."""
+    """(__key, __kinds): the documents that fulfil some of the queries, and which.  Postings meet by document."""
 
     def holds(q: Query) -> Column:
         if q[0] == "tri":
@@ -166,9 +166,9 @@ def search(postings: DataFrame, asked: dict[str, Query]) -> DataFrame:
         return reduce((lambda a, b: a & b) if q[0] == "and" else (lambda a, b: a | b), parts)
 
     # a document has at most as many postings here as the rules have trigrams
-    sets = postings.groupBy("_key").agg(F.collect_set("trigram").alias("_has"))
+    sets = postings.groupBy("__key").agg(F.collect_set("trigram").alias("_has"))
     kinds = F.array_compact(F.array(*[F.when(holds(q), F.lit(kind)) for kind, q in asked.items()]))
-    return sets.select("_key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    return sets.select("__key", kinds.alias("__kinds")).filter(F.size("__kinds") > 0)
 
 
 def located(text: Column, rule: Rule, rank: int) -> Column:
@@ -211,19 +211,20 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[st
     Rows with equal ids or texts are told apart or give equal spans; an empty table gives no rows.
     """
     asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ALL}
+    keep = [c for c in keep if c != "spans"]
     rows = keyed(docs, keep)
     if asked:
         postings = build_index(rows, sorted(set().union(*map(trigrams_of, asked.values()))))
-        found = search(postings, asked).withColumnRenamed("_key", "_found")
-        rows = rows.join(found, rows["_key"].eqNullSafe(found["_found"]), "left")
+        found = search(postings, asked).withColumnRenamed("__key", "__found")
+        rows = rows.join(found, rows["__key"].eqNullSafe(found["__found"]), "left")
     else:
-        rows = rows.withColumn("kinds", F.array().cast("array<string>"))
+        rows = rows.withColumn("__kinds", F.array().cast("array<string>"))
     nothing = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     text = F.col("text")
     spans = []
     for rank, rule in enumerate(rules):
         if rule.kind in asked:
-            spans.append(F.when(F.array_contains("kinds", rule.kind), located(text, rule, rank)).otherwise(nothing))
+            spans.append(F.when(F.array_contains("__kinds", rule.kind), located(text, rule, rank)).otherwise(nothing))
         else:
             spans.append(F.when(text.rlike(scan_pattern(rule).pattern), located(text, scan_pattern(rule), rank)).otherwise(nothing))
     return rows.select("doc_id", "text", *keep, F.sort_array(F.concat(*spans)).alias("spans"))

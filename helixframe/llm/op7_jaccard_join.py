@@ -446,7 +446,7 @@ def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     own = written(mapped(rows, sizes, f"doc_id {kind}, _h int, n_shingles long, _node long"))
     roots = components(links(rows, join), "a", "b")
     # minima come before the exchanges, so equal sets cost one row a partition
-    nodes = own.filter("n_shingles > 0").groupBy("_node").agg(F.min(F.struct("doc_id", "_h")).alias("_least"), F.min("doc_id").alias("_id"))
+    nodes = own.filter("n_shingles > 0").groupBy("_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("_least"), F.min("doc_id").alias("_id"))
     nodes = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_root"), "_least", "_id")
     return own, nodes
 
@@ -471,10 +471,9 @@ def one_of_each(docs: DataFrame, join: Join = Join(5, 80)) -> DataFrame:  # noqa
     """
     own, nodes = classes(docs, join)
     kept = nodes.groupBy("_root").agg(F.min("_least").alias("k")).select("k.doc_id", "k._h")
-    kept = kept.union(own.filter("n_shingles = 0").select("doc_id", "_h").distinct()).select(F.col("doc_id").alias("_kept"), F.col("_h").alias("_kept_h"))
-    rows = docs.withColumn("_h", text_hash(F.coalesce("text", F.lit(""))))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_kept_h")))
-    return rows.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    kept = kept.union(own.filter("n_shingles = 0").select("doc_id", "_h").distinct()).select(F.col("doc_id").alias("__kept"), F.col("_h").alias("__kept_h"))
+    same = docs["doc_id"].eqNullSafe(F.col("__kept")) & (text_hash(F.coalesce(docs["text"], F.lit(""))) == F.col("__kept_h"))
+    return docs.join(kept, same).dropDuplicates(["doc_id", "__kept_h"]).select(*docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,9 +105,9 @@ def mix_to_targets(docs: DataFrame, members: Column, size: Column, targets_of, m
     document for each copy.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("_size", size.cast("bigint")).withColumn("_members", F.array_sort(F.array_distinct(members)))
-    rows = rows.withColumn("_pattern", F.to_json(F.struct(F.transform("_members", lambda m: F.struct(m.alias("name"))).alias("m"))))
-    totals = rows.groupBy("_pattern").agg(F.first("_members").alias("names"), F.sum("_size").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    rows = docs.withColumn("_size", size.cast("bigint")).withColumn("__mix_members", F.array_sort(F.array_distinct(members)))
+    rows = rows.withColumn("__mix_pattern", F.to_json(F.struct(F.transform("__mix_members", lambda m: F.struct(m.alias("name"))).alias("m"))))
+    totals = rows.groupBy("__mix_pattern").agg(F.first("__mix_members").alias("names"), F.sum("_size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(totals) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     names = sorted({m for r in totals for m in r.names}, key=lambda m: (m is None, m or ""))
@@ -120,20 +120,20 @@ def mix_to_targets(docs: DataFrame, members: Column, size: Column, targets_of, m
     totals.sort(key=lambda r: [number[m] for m in r.names])
     plan = route([(tuple(number[m] for m in r.names), r.n) for r in totals], targets, most)
 
-    of_pattern = spark.createDataFrame(pa.table({"_pattern": pa.array([r._pattern for r in totals], pa.string()), "_takes": pa.array(plan.copies, pa.list_(pa.int64()))}))
+    of_pattern = spark.createDataFrame(pa.table({"__mix_pattern": pa.array([r["__mix_pattern"] for r in totals], pa.string()), "__mix_takes": pa.array(plan.copies, pa.list_(pa.int64()))}))
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, DIGITS))
-    key = ["_pattern", "_range"]
+    rows = rows.withColumn("__mix_order", order).withColumn("__mix_range", F.substring("__mix_order", 1, DIGITS))
+    key = ["__mix_pattern", "__mix_range"]
     # ranges of the seeded order: at most 16**DIGITS for each pattern
     ranges = rows.groupBy(*key).agg(F.sum("_size").alias("_n"))
-    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("_pattern").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select(*key, ahead.alias("_ahead"))
-    inside = Window.partitionBy(*key).orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    rows = rows.join(ranges, key).join(F.broadcast(of_pattern), "_pattern")
-    twice = 2 * (F.col("_ahead") + F.col("_before")) + F.col("_size")
-    copies = F.aggregate("_takes", F.lit(0), lambda a, t: a + F.when(twice <= 2 * t, 1).otherwise(0))
-    rows = rows.withColumn("_copies", copies).drop("_members", "_pattern", "_order", "_range", "_before", "_ahead", "_takes")
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("__mix_pattern").orderBy("__mix_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*key, ahead.alias("__mix_ahead"))
+    inside = Window.partitionBy(*key).orderBy("__mix_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__mix_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    rows = rows.join(ranges, key).join(F.broadcast(of_pattern), "__mix_pattern")
+    twice = 2 * (F.col("__mix_ahead") + F.col("__mix_before")) + F.col("_size")
+    copies = F.aggregate("__mix_takes", F.lit(0), lambda a, t: a + F.when(twice <= 2 * t, 1).otherwise(0))
+    rows = rows.withColumn("_copies", copies).drop("__mix_members", "__mix_pattern", "__mix_order", "__mix_range", "__mix_before", "__mix_ahead", "__mix_takes")
     figures = spark.createDataFrame(pa.table({"_source": pa.array(names, pa.string()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(targets, pa.float64())}))
     return rows, figures
 
