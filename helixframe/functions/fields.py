@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helixframe.functions.numbers import plain_text, to_double
+from helixframe.functions.numbers import let, plain_text, to_double
 from helixframe.sources.header import Header, HeaderLine
 
 
 def canonical_number(text: Column) -> Column:
     """A single-precision number in its shortest form; other texts stay."""
-    return F.coalesce(plain_text(to_double(text).cast("float")), text)
+    return let(text, lambda t: F.coalesce(plain_text(to_double(t).cast("float")), t))
 
 
 def canonical_list(text: Column) -> Column:
@@ -42,19 +42,20 @@ def _is_one_of(key: Column, keys: list[str]) -> Column:
 
 
 def rewritten_info(info: Column, header: Header, k: Column | None, canonical: bool) -> Column:
-    """INFO with values cut to alternative ``k`` (None: as they are) and numbers in canonical form."""
+    """INFO with values cut to alternative ``k`` (None or null: as they are) and numbers in canonical form."""
 
     def entry(e: Column) -> Column:
         key = F.substring_index(e, "=", 1)
         value = F.substring(e, F.char_length(key) + 2, F.lit(1 << 30))
         new = value
         for number in "ARG" if k is not None else "":
-            new = F.when(_is_one_of(key, keys_of(header.infos, lambda x, n=number: x.number == n and x.type != "Flag")), allele_values(value, number, k)).otherwise(new)
+            new = F.when(k.isNotNull() & _is_one_of(key, keys_of(header.infos, lambda x, n=number: x.number == n and x.type != "Flag")), allele_values(value, number, k)).otherwise(new)
         if canonical:
-            new = F.when(_is_one_of(key, keys_of(header.infos, lambda x: x.type == "Float")), canonical_list(new)).otherwise(new)
+            floats = keys_of(header.infos, lambda x: x.type == "Float")
+            new = let(new, lambda n: F.when(_is_one_of(key, floats), canonical_list(n)).otherwise(n))
         return F.when(e.contains("="), F.concat(key, F.lit("="), new)).otherwise(e)
 
-    return F.when(info.isin(".", ""), info).otherwise(F.array_join(F.transform(F.split(info, ";"), entry), ";"))
+    return let(info, lambda i: F.when(i.isin(".", ""), i).otherwise(F.array_join(F.transform(F.split(i, ";"), entry), ";")))
 
 
 def rewritten_samples(samples: Column, format_: Column, header: Header, k: Column | None, canonical: bool) -> Column:
@@ -64,9 +65,10 @@ def rewritten_samples(samples: Column, format_: Column, header: Header, k: Colum
     def value(v: Column, key: Column) -> Column:
         new = v
         for number in "ARG" if k is not None else "":
-            new = F.when(_is_one_of(key, keys_of(header.formats, lambda x, n=number: x.number == n)), allele_values(v, number, k)).otherwise(new)
+            new = F.when(k.isNotNull() & _is_one_of(key, keys_of(header.formats, lambda x, n=number: x.number == n)), allele_values(v, number, k)).otherwise(new)
         if canonical:
-            new = F.when(_is_one_of(key, keys_of(header.formats, lambda x: x.type == "Float")), canonical_list(new)).otherwise(new)
+            floats = keys_of(header.formats, lambda x: x.type == "Float")
+            new = let(new, lambda n: F.when(_is_one_of(key, floats), canonical_list(n)).otherwise(n)) if floats else new
         return new
 
     return F.transform(samples, lambda s: F.array_join(F.transform(F.split(s, ":"), lambda v, i: value(v, F.coalesce(F.get(keys, i), F.lit("")))), ":"))

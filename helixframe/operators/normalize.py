@@ -105,8 +105,7 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
     alts = F.when(many & F.lit(split), F.split("alt", ",")).otherwise(F.array("alt"))
     out = rows.withColumn("_cut", many & F.lit(split)).select("*", F.posexplode(alts).alias("alt_idx", "_alt")).withColumn("alt", F.col("_alt"))
     k = F.when(F.col("_cut"), F.col("alt_idx") + 1)
-    out = out.withColumn("info", F.when(F.col("_cut"), rewritten_info(F.col("info"), header, k, False)).otherwise(F.col("info")))
-    out = out.withColumn("samples", F.when(F.col("_cut"), rewritten_samples(F.col("samples"), F.col("format"), header, k, False)).otherwise(F.col("samples")))
+    out = out.withColumn("_nth", k)
     out = out.withColumn("_moved", F.lit(False))
     if left_align:
         out = out.drop("_moved").withColumn("_key", F.concat_ws(":", "_key", "alt_idx")).withColumn("_one", ~F.col("_sym") & ~F.col("alt").contains(","))
@@ -114,8 +113,8 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
     snp = F.char_length("ref") == F.char_length("alt")
     raw = (snp | F.lit(not left_align) | F.col("_sym")) & ~F.col("_cut") & ~F.col("alt").contains(",") | F.col("_sym") if fast else F.lit(False)
     out = out.withColumn("_raw", raw)
-    out = out.withColumn("info", F.when(F.col("_raw"), F.col("info")).otherwise(rewritten_info(F.col("info"), header, None, True)))
-    out = out.withColumn("samples", F.when(F.col("_raw"), F.col("samples")).otherwise(rewritten_samples(F.col("samples"), F.col("format"), header, None, True)))
+    out = out.withColumn("info", F.when(F.col("_raw"), F.col("info")).otherwise(rewritten_info(F.col("info"), header, F.col("_nth"), True)))
+    out = out.withColumn("samples", F.when(F.col("_raw"), F.col("samples")).otherwise(rewritten_samples(F.col("samples"), F.col("format"), header, F.col("_nth"), True)))
     out = out.withColumn("qual", F.when(F.col("_raw"), F.col("qual")).otherwise(canonical_number(F.col("qual"))))
     out = out.withColumn("line", F.when(F.col("_raw"), F.col("line")).otherwise(composed()))
     made = out.agg(F.count(F.lit(1)).alias("output"), F.count_if("_moved").alias("left_aligned"))
