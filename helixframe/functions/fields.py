@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.numbers import let, plain_text, to_double
 from helixframe.sources.header import Header, HeaderLine
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with computed columns as attributes of their own, added or replaced.
+
+    Later filters on them stay above and those on other columns still move down; without this the optimizer copies long
+    expressions into filters and constraints, and planning takes minutes.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(made)))
+
+
 def canonical_number(text: Column) -> Column:
     """A single-precision number in its shortest form; other texts stay."""
     return let(text, lambda t: F.coalesce(plain_text(to_double(t).cast("float")), t))

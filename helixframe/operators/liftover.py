@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.errors import VariantError
 from helixframe.functions.bases import reverse_complement
-from helixframe.functions.fields import canonical_number, rewritten_info, rewritten_samples
+from helixframe.functions.fields import canonical_number, rewritten_info, rewritten_samples, settled
 from helixframe.functions.numbers import to_long
 from helixframe.sources.chain import BIN, ChainIndex
 from helixframe.sources.fasta import Reference
@@ -92,6 +92,7 @@ def liftover(
         inside = end <= target_ref.length_of(F.col("tgt_chrom"))
         matches = F.coalesce(inside & (F.upper("_seen") == F.upper("_ref")), F.lit(False))
         rows = rows.withColumn("_status", F.when(F.col("_checked") & ~matches, F.lit("ref_mismatch")).otherwise(F.col("_status")))
+    rows = settled(rows, **{c: F.col(c) for c in ("_t0", "_rev", "_ref", "_alt", "_status")})
     figures = rows.agg(
         F.count(F.lit(1)).alias("input"), F.count_if(F.col("_status") == "ok").alias("output"), F.count_if(F.col("_status") == "unmapped").alias("rejected_unmapped"),
         F.count_if(F.col("_status") == "ref_mismatch").alias("rejected_ref_mismatch"), F.count_if((F.col("_status") == "ok") & F.col("_rev")).alias("swapped_alleles"),

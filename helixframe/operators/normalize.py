@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.errors import VariantError
 from helixframe.functions.bases import common_prefix
-from helixframe.functions.fields import canonical_number, rewritten_info, rewritten_samples
+from helixframe.functions.fields import canonical_number, rewritten_info, rewritten_samples, settled
 from helixframe.functions.numbers import to_long
 from helixframe.sources.fasta import Reference
 from helixframe.sources.vcf import VariantSet, composed
@@ -51,9 +51,10 @@ def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
         rows = rows.withColumn("_full", full).withColumn("_c", F.when(F.col("_full"), before(wide)).otherwise(F.col("_c")))
         rows = rows.withColumn("_k", F.when(F.col("_full"), _shift(F.col("_c"), wide)).otherwise(F.col("_k"))).drop("_full")
     if (longest := max([0, *reference.lengths.values()])) > wide:
-        rest = reference.stretch(rows.filter(full).drop("_c", "_k"), F.lit(0).cast("bigint"), F.col("_left"), ["_key"], "_c")
+        rows = settled(rows, _c=F.col("_c"), _k=F.col("_k"), _far=full)
+        rest = reference.stretch(rows.filter("_far").drop("_c", "_k"), F.lit(0).cast("bigint"), F.col("_left"), ["_key"], "_c")
         rest = rest.withColumn("_c", F.upper(F.coalesce("_c", F.lit("")))).withColumn("_k", _shift(F.col("_c"), longest))
-        rows = rows.filter(~full).unionByName(rest)
+        rows = rows.filter("not _far").unionByName(rest).drop("_far")
     cut = lambda allele: F.when(F.col("_indel"), F.substring(F.concat("_c", allele), F.char_length("_c") - F.col("_k") + 1, F.char_length(allele)))
     rows = rows.withColumn("_r", cut(F.col("ref"))).withColumn("_a", cut(F.col("alt")))
     shorter = F.least(F.char_length("_r"), F.char_length("_a")) - 1
@@ -61,9 +62,9 @@ def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
     rows = rows.withColumn("_np", F.col("_p") - F.col("_k") + F.col("_j"))
     rows = rows.withColumn("_nr", F.substring("_r", F.col("_j") + 1, F.char_length("_r"))).withColumn("_na", F.substring("_a", F.col("_j") + 1, F.char_length("_a")))
     moved = F.coalesce((F.col("_np") != F.col("_p")) | (F.col("_nr") != F.col("ref")) | (F.col("_na") != F.col("alt")), F.lit(False))
-    rows = rows.withColumn("_moved", moved).withColumn("pos", F.when(F.col("_moved"), F.col("_np").cast("string")).otherwise(F.col("pos")))
-    rows = rows.withColumn("ref", F.coalesce("_nr", "ref")).withColumn("alt", F.coalesce("_na", "alt"))
-    return rows.drop("_p", "_indel", "_left", "_c", "_k", "_r", "_a", "_j", "_np", "_nr", "_na")
+    rows = rows.withColumn("_moved", moved)
+    place = F.when(F.col("_moved"), F.col("_np").cast("string")).otherwise(F.col("pos"))
+    return settled(rows, _moved=F.col("_moved"), pos=place, ref=F.coalesce("_nr", "ref"), alt=F.coalesce("_na", "alt")).drop("_p", "_indel", "_left", "_c", "_k", "_r", "_a", "_j", "_np", "_nr", "_na")
 
 
 def normalize(vs: VariantSet, reference: Reference | None = None, split: bool = True, left_align: bool = True, check_ref: str = "warn", fast: bool = False) -> VariantSet:
