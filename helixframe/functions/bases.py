@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from helixframe.functions.numbers import let
+
 
 def reverse_complement(bases: Column) -> Column:
     """Other characters than ACGT stay themselves; case is kept."""
@@ -12,12 +14,19 @@ def reverse_complement(bases: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column, most: int) -> Column:
-    """Length of the longest common prefix, up to ``most``: by halving, so a row costs log(most) comparisons."""
+    """Length of the longest common prefix, up to ``most``: by halving, so a row costs log(most) comparisons.
+
+    Most pairs differ in their first character or have none, and end there.
+    """
     steps = [1 << i for i in reversed(range(max(1, int(most).bit_length())))]
-    room = F.least(F.char_length(a), F.char_length(b), F.lit(most))
 
-    def longer(k: Column, s: Column) -> Column:
-        same = F.substring(a, k + 1, s) == F.substring(b, k + 1, s)
-        return F.when((k + s <= room) & same, k + s).otherwise(k)
+    def search(x: Column) -> Column:
+        def longer(k: Column, s: Column) -> Column:
+            same = F.substring(x["a"], k + 1, s) == F.substring(x["b"], k + 1, s)
+            return F.when((k + s <= x["room"]) & same, k + s).otherwise(k)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), longer)
+        found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), longer)
+        return F.when((x["room"] > 0) & (F.substring(x["a"], 1, 1) == F.substring(x["b"], 1, 1)), found).otherwise(F.lit(0))
+
+    room = F.least(F.char_length(a), F.char_length(b), F.lit(most))
+    return let(F.struct(a.alias("a"), b.alias("b"), room.alias("room")), search)

@@ -54,31 +54,41 @@ def _is_one_of(key: Column, keys: list[str]) -> Column:
 def rewritten_info(info: Column, header: Header, k: Column | None, canonical: bool) -> Column:
     """INFO with values cut to alternative ``k`` (None or null: as they are) and numbers in canonical form."""
 
-    def entry(e: Column) -> Column:
-        key = F.substring_index(e, "=", 1)
+    floats = keys_of(header.infos, lambda x: x.type == "Float") if canonical else []
+    by_number = {n: keys_of(header.infos, lambda x, n=n: x.number == n and x.type != "Flag") for n in "ARG"} if k is not None else {}
+    if not (wanted := sorted({*floats, *sum(by_number.values(), [])})):
+        return info
+
+    def rewritten(e: Column, key: Column) -> Column:
         value = F.substring(e, F.char_length(key) + 2, F.lit(1 << 30))
         new = value
-        for number in "ARG" if k is not None else "":
-            new = F.when(k.isNotNull() & _is_one_of(key, keys_of(header.infos, lambda x, n=number: x.number == n and x.type != "Flag")), allele_values(value, number, k)).otherwise(new)
-        if canonical:
-            floats = keys_of(header.infos, lambda x: x.type == "Float")
+        for number, keys in by_number.items():
+            new = F.when(k.isNotNull() & _is_one_of(key, keys), allele_values(value, number, k)).otherwise(new)
+        if floats:
             new = let(new, lambda n: F.when(_is_one_of(key, floats), canonical_list(n)).otherwise(n))
-        return F.when(e.contains("="), F.concat(key, F.lit("="), new)).otherwise(e)
+        return F.concat(key, F.lit("="), new)
+
+    def entry(e: Column) -> Column:
+        return let(F.substring_index(e, "=", 1), lambda key: F.when(key.isin(*wanted) & e.contains("="), rewritten(e, key)).otherwise(e))
 
     return let(info, lambda i: F.when(i.isin(".", ""), i).otherwise(F.array_join(F.transform(F.split(i, ";"), entry), ";")))
 
 
 def rewritten_samples(samples: Column, format_: Column, header: Header, k: Column | None, canonical: bool) -> Column:
     """The same for all samples; genotypes stay as they are."""
-    keys = F.split(format_, ":")
+    floats = keys_of(header.formats, lambda x: x.type == "Float") if canonical else []
+    by_number = {n: keys_of(header.formats, lambda x, n=n: x.number == n) for n in "ARG"} if k is not None else {}
+    if not (wanted := sorted({*floats, *sum(by_number.values(), [])})):
+        return samples
 
-    def value(v: Column, key: Column) -> Column:
+    def rewritten(v: Column, key: Column) -> Column:
         new = v
-        for number in "ARG" if k is not None else "":
-            new = F.when(k.isNotNull() & _is_one_of(key, keys_of(header.formats, lambda x, n=number: x.number == n)), allele_values(v, number, k)).otherwise(new)
-        if canonical:
-            floats = keys_of(header.formats, lambda x: x.type == "Float")
-            new = let(new, lambda n: F.when(_is_one_of(key, floats), canonical_list(n)).otherwise(n)) if floats else new
-        return new
-
-    return F.transform(samples, lambda s: F.array_join(F.transform(F.split(s, ":"), lambda v, i: value(v, F.coalesce(F.get(keys, i), F.lit("")))), ":"))
+        for number, keys in by_number.items():
+            new = F.when(k.isNotNull() & _is_one_of(key, keys), allele_values(v, number, k)).otherwise(new)
+        return let(new, lambda n: F.when(_is_one_of(key, floats), canonical_list(n)).otherwise(n)) if floats else new
+
+    def sample(s: Column, keys: Column) -> Column:
+        value = lambda v, i: let(F.coalesce(F.get(keys, i), F.lit("")), lambda key: F.when(key.isin(*wanted), rewritten(v, key)).otherwise(v))
+        return F.array_join(F.transform(F.split(s, ":"), value), ":")
+
+    return let(F.split(format_, ":"), lambda keys: F.transform(samples, lambda s: sample(s, keys)))

@@ -24,7 +24,8 @@ def symbolic(alt: Column) -> Column:
 def _shift(context: Column, limit: int) -> Column:
     """Places to move left, given the bases before: the common suffix of context || REF and context || ALT."""
     shared = common_prefix(F.reverse(F.concat(context, F.col("ref"))), F.reverse(F.concat(context, F.col("alt"))), limit)
-    return F.least(shared, F.char_length(context))
+    moves = F.right("ref", F.lit(1)) == F.right("alt", F.lit(1))
+    return F.when(moves, F.least(shared, F.char_length(context))).when(context.isNotNull(), F.lit(0))
 
 
 def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
@@ -58,7 +59,8 @@ def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
     cut = lambda allele: F.when(F.col("_indel"), F.substring(F.concat("_c", allele), F.char_length("_c") - F.col("_k") + 1, F.char_length(allele)))
     rows = rows.withColumn("_r", cut(F.col("ref"))).withColumn("_a", cut(F.col("alt")))
     shorter = F.least(F.char_length("_r"), F.char_length("_a")) - 1
-    rows = rows.withColumn("_j", F.when(F.col("_indel"), F.least(common_prefix(F.col("_r"), F.col("_a"), 1 << 16), shorter)))
+    shared = F.when(shorter > 0, F.least(common_prefix(F.col("_r"), F.col("_a"), 1 << 16), shorter)).otherwise(F.lit(0))
+    rows = rows.withColumn("_j", F.when(F.col("_indel"), shared))
     rows = rows.withColumn("_np", F.col("_p") - F.col("_k") + F.col("_j"))
     rows = rows.withColumn("_nr", F.substring("_r", F.col("_j") + 1, F.char_length("_r"))).withColumn("_na", F.substring("_a", F.col("_j") + 1, F.char_length("_a")))
     moved = F.coalesce((F.col("_np") != F.col("_p")) | (F.col("_nr") != F.col("ref")) | (F.col("_na") != F.col("alt")), F.lit(False))
