@@ -166,3 +166,29 @@ def test_files(spark, tmp_path):
     with pytest.raises(FormatError):
         reject_bcf_output("x.bcf")
     assert detect_format_from_magic(b"BCF\x02x") and not detect_format_from_magic(b"BC") and is_compressed_path("a.vcf.bgz") and not is_compressed_path("a.vcf")
+
+
+@pytest.mark.parametrize(("a", "b", "most", "want"), [("", "A", 8, 0), ("A", "C", 8, 0), ("ACGT", "ACGA", 8, 3), ("ACGT", "ACGT", 2, 2), ("A" * 300, "A" * 299 + "C", 512, 299), ("A" * 7, "A" * 9, 128, 7)])
+def test_common_prefix(spark, a, b, most, want):
+    from pyspark.sql import functions as F
+
+    from helixframe.functions.bases import common_prefix
+
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(common_prefix(F.col("a"), F.col("b"), most).alias("n")).first().n == want
+
+
+def test_planning_stays_short(spark):
+    """A filter on the results of both operators is planned in seconds: no rule copies their expressions."""
+    import time
+
+    from helixframe.operators.filter import filter_variants
+    from helixframe.operators.liftover import liftover
+    from helixframe.operators.normalize import normalize
+    from helixframe.plans import view
+
+    vs = normalize(view.variants(spark, "/root/testdata/sf0.001"), view.reference(spark))
+    kept = filter_variants(liftover(vs, view.chain(spark))[0], "INFO/AF < 0.05 || INFO/DP > 20")
+    began = time.monotonic()
+    kept.df.filter("alt <> 'A'")._jdf.queryExecution().executedPlan()
+    assert time.monotonic() - began < 30
