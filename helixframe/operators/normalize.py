@@ -59,7 +59,7 @@ def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
     cut = lambda allele: F.when(F.col("_indel"), F.substring(F.concat("_c", allele), F.char_length("_c") - F.col("_k") + 1, F.char_length(allele)))
     rows = rows.withColumn("_r", cut(F.col("ref"))).withColumn("_a", cut(F.col("alt")))
     shorter = F.least(F.char_length("_r"), F.char_length("_a")) - 1
-    shared = F.when(shorter > 0, F.least(common_prefix(F.col("_r"), F.col("_a"), 1 << 16), shorter)).otherwise(F.lit(0))
+    shared = F.when(shorter > 0, F.least(common_prefix(F.col("_r"), F.col("_a")), shorter)).otherwise(F.lit(0))
     rows = rows.withColumn("_j", F.when(F.col("_indel"), shared))
     rows = rows.withColumn("_np", F.col("_p") - F.col("_k") + F.col("_j"))
     rows = rows.withColumn("_nr", F.substring("_r", F.col("_j") + 1, F.char_length("_r"))).withColumn("_na", F.substring("_a", F.col("_j") + 1, F.char_length("_a")))

@@ -103,6 +103,16 @@ def test_left_align(spark, chunk, overlap):
     assert [(int(r.pos), r.ref, r.alt) for r in out.df.orderBy("row_id").collect()] == [by_loop(sequence, *c) for c in cases]
 
 
+@pytest.mark.parametrize("shared", [65_536, 65_537, 200_003])
+def test_left_align_long_prefix(spark, shared):
+    """A shared prefix of any length goes."""
+    prefix = "".join("ACGT"[i * i % 7 % 4] for i in range(shared))
+    ref, alt = prefix + "GATTC", prefix + "CG"
+    out = normalize(from_lines(spark, [*HEAD, row("chr2", 1, ref, alt)]), reference_from_dict(spark, {"chr2": ref + "ACGT"}), check_ref="ignore")
+    got = [(int(r.pos), r.ref, r.alt) for r in out.df.collect()]
+    assert got == [(shared + 1, "GATTC", "CG")]
+
+
 def test_reference_checks(spark, tmp_path):
     (tmp_path / "r.fa").write_text(">chr1 x\nACGTA\nCGT\n>chr2\nGG\n")
     (tmp_path / "r.fa.fai").write_text("chr1\t8\t8\t5\t6\nchr2\t2\t24\t2\t3\n")
