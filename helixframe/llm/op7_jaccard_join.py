@@ -5,8 +5,8 @@ last, two sets of similarity t share one of their first n - ceil(t n) + 1 shingl
 common are a tile, in order of size, and only sizes within the band of t can link.  In a tile, each pair's bitmaps (the
 parity of the shingles hashed to each bit) bound the overlap from above: the bits that differ are no more than the
 shingles that differ.  Pairs that pass are thinned to those that join parts of the tile, and their sorted sets are
-intersected exactly.  Where a pair fails, the sets of its part are compared exactly in one place (of a very large part all
-pairs that pass larger bitmaps), so no link between different sets is lost.  A count-min sketch spares shingles that only one set begins with.
+intersected exactly.  Where a pair fails, the sets of its part are compared exactly in one place (those of a very large part
+in its tiles), so no link between different sets is lost.  A count-min sketch spares shingles that only one set begins with.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .op5_substring_dedup import first_in_order, shingle_count, text_hash
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 5000, 0.002, 100_000
 #: Bits of a bitmap for each shingle in the tiles, and where a part in which a pair failed is settled.
 BITS, SETTLE_BITS = 0.5, 16.0
-#: Nodes up to which such a part's sets meet in one task; the pairs of larger ones go through the tiles again, all of them.
+#: Nodes up to which such a part's sets meet in one task; the sets of larger ones meet in the shards of their tiles.
 MOST_PART = 20_000
 LEAST_BITS, MOST_BITS = 64, 1 << 17
 #: Tiles of more nodes are joined node by node against the parts found so far.
@@ -166,8 +166,8 @@ class Parts:
         return x != y
 
 
-def tile_pairs(token: np.ndarray, who: np.ndarray, tiles: Tiles, every: bool) -> list[tuple[int, int]]:
-    """Pairs of node numbers that may link: all of them, or as many as join the parts that they form.
+def tile_pairs(token: np.ndarray, who: np.ndarray, tiles: Tiles) -> list[tuple[int, int]]:
+    """Pairs of node numbers that may link, as many as join the parts that they form.
 
     (token, who) are the tiles' rows, sorted by token and size; sizes only grow along a tile, so a node's partners end
     where the band ends.
@@ -184,7 +184,7 @@ def tile_pairs(token: np.ndarray, who: np.ndarray, tiles: Tiles, every: bool) ->
     number = np.diff(np.r_[start, len(token)])
     end = np.repeat(start + number, number)
     size, share = tiles.size[who], tiles.join.share
-    alive, k, held = np.flatnonzero(np.repeat((number <= SMALL_TILE) | every, number)), 1, []
+    alive, k, held = np.flatnonzero(np.repeat(number <= SMALL_TILE, number)), 1, []
     while len(alive):
         alive = alive[alive + k < end[alive]]
         alive = alive[100 * size[alive] >= share * size[alive + k]]
@@ -198,11 +198,9 @@ def tile_pairs(token: np.ndarray, who: np.ndarray, tiles: Tiles, every: bool) ->
     # in order of the smaller node: parts become stars around it, and all shards choose the same pairs
     for pair in np.unique(np.concatenate(passed)).tolist() if passed else []:
         x, y = pair >> 32, pair & 0xFFFFFFFF
-        if every or parts.unite(x, y):
+        if parts.unite(x, y):
             found.append((x, y))
     for s, n in zip(start[number > SMALL_TILE].tolist(), number[number > SMALL_TILE].tolist(), strict=True):
-        if every:
-            break
         rows = who[s : s + n]
         sizes, label = tiles.size[rows], np.arange(n)
         for i in range(1, n):
@@ -253,17 +251,19 @@ def distinct_sets(batch: pa.RecordBatch, join: Join, seen: set[int]) -> Sets:
     return pick(s, np.array(which, np.int64))
 
 
-def candidate_pairs(rows: DataFrame, join: Join, frequent: np.ndarray, shared: sketch.Filter, words: int, each: float, every: bool, only: sketch.Filter | None) -> DataFrame:
+def shard_count(words: int) -> int:
+    return int(min(1 << 16, max(64, words // 1_000_000)))
+
+
+def candidate_pairs(rows: DataFrame, join: Join, frequent: np.ndarray, shared: sketch.Filter, words: int) -> DataFrame:
     """(a, b), a < b: nodes that may link."""
-    shards = int(min(1 << 16, max(64, words // 1_000_000)))
+    shards, each = shard_count(words), BITS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for big in batches:
             for batch in steps(big):
                 s = distinct_sets(batch, join, seen)
-                if only is not None:
-                    s = pick(s, np.flatnonzero(only.holds(s.node.view(U))))
                 doc, token = beginnings(s, join, frequent)
                 hit = shared.holds(token)
                 doc, token = doc[hit], token[hit]
@@ -298,7 +298,7 @@ def candidate_pairs(rows: DataFrame, join: Join, frequent: np.ndarray, shared: s
             order = np.lexsort((who, tiles.size[who], token))
             token, who = token[order], who[order]
             keep = first_in_order([token, who])
-            found = np.array(tile_pairs(token[keep], who[keep], tiles, every), np.int64).reshape(-1, 2)
+            found = np.array(tile_pairs(token[keep], who[keep], tiles), np.int64).reshape(-1, 2)
             a, b = names[found[:, 0]], names[found[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -356,24 +356,36 @@ def verified(rows: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     return mapped(both, compare, "a long, b long, linked boolean")
 
 
-def exact_links(node: np.ndarray, sets: list[np.ndarray], join: Join) -> list[tuple[int, int]]:
-    """Links that connect what is connected among the given sets: each set meets the parts found so far, by size."""
+def exact_links(node: np.ndarray, sets: list[np.ndarray], join: Join, groups: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is connected among the given sets: each set meets the parts found so far, by size.
+
+    With ``groups`` (numbers of sets), only links inside a group need be found.
+    """
     size = np.array([len(x) for x in sets], np.int64)
     order = np.lexsort((node, size))
     node, size, sets = node[order], size[order], [sets[i] for i in order.tolist()]
     s = Sets(np.concatenate(sets), np.r_[0, np.cumsum(size)], node)
     tiles = Tiles(node, size, *bitmaps(s, SETTLE_BITS), join)
     label, found = np.arange(len(node)), []
-    for i in range(1, len(node)):
-        low = int(np.searchsorted(size[:i], -(-join.share * int(size[i]) // 100)))
-        by_node = low + np.argsort(node[low:i])
-        for among in (by_node[np.unique(label[by_node], return_index=True)[1]], None):
-            if among is None:
-                among = low + np.flatnonzero(label[low:i] != label[i])
-            for j in among[tiles.may_link(among, np.full(len(among), i))].tolist():
-                if label[j] != label[i] and join.linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), int(size[i]), int(size[j])):
-                    label[label == label[j]] = label[i]
-                    found.append((int(node[j]), int(node[i])))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    for group in [np.arange(len(node))] if groups is None else [np.sort(place[g]) for g in groups]:
+        sizes, by_node = size[group], np.argsort(node[group])
+        for n, i in enumerate(group.tolist()):
+            low = int(np.searchsorted(sizes[:n], -(-join.share * int(size[i]) // 100)))
+            other = label[group] != label[i]
+            if not other[low:n].any():
+                continue
+            # first the smallest node of each part in the band, then all nodes of the parts that did not pass
+            near = by_node[(by_node >= low) & (by_node < n)]
+            near = group[near[other[near]]]
+            for among in (near[np.unique(label[near], return_index=True)[1]], None):
+                if among is None:
+                    among = group[low + np.flatnonzero(label[group[low:n]] != label[i])]
+                for j in among[tiles.may_link(among, np.full(len(among), i))].tolist():
+                    if label[j] != label[i] and join.linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), int(size[i]), int(size[j])):
+                        label[label == label[j]] = label[i]
+                        found.append((int(node[j]), int(node[i])))
     return found
 
 
@@ -403,6 +415,59 @@ def settled(rows: DataFrame, parts: DataFrame, join: Join) -> DataFrame:
     return mapped(met.repartition(F.col("root")).sortWithinPartitions("root"), settle, "a long, b long")
 
 
+def settled_in_tiles(rows: DataFrame, only: sketch.Filter, join: Join, frequent: np.ndarray, shared: sketch.Filter, words: int) -> DataFrame:
+    """(a, b): exact links, enough to connect what is connected among the nodes that the filter holds.
+
+    A set goes once to each shard of its first shingles; there its tiles are linked exactly, so a shard gives fewer pairs
+    than it has nodes.
+    """
+    shards = shard_count(words)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for big in batches:
+            for batch in steps(big):
+                s = distinct_sets(batch, join, seen)
+                s = pick(s, np.flatnonzero(only.holds(s.node.view(U))))
+                doc, token = beginnings(s, join, frequent)
+                hit = shared.holds(token)
+                doc, token = doc[hit], token[hit]
+                shard = ((token >> U(40)) % U(shards)).astype(np.int64)
+                order = np.lexsort((doc, shard))
+                doc, token, shard = doc[order], token[order], shard[order]
+                cuts = np.r_[np.flatnonzero(first_in_order([shard, doc])), len(shard)]
+                for k in range(0, len(cuts) - 1, 256):
+                    spans = [(int(a), int(b)) for a, b in zip(cuts[k : k + 256], cuts[k + 1 : k + 257], strict=False)]
+                    whole = [s.tokens[s.at[doc[a]] : s.at[doc[a] + 1]].tobytes() for a, _ in spans]
+                    first = [a for a, _ in spans]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(s.node[doc[first]]), pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(whole, pa.binary())], ["shard", "node", "first", "tokens"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, {}
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                firsts = [x for x, _ in held.values()]
+                token, who = np.concatenate(firsts), np.repeat(np.arange(len(firsts)), [len(x) for x in firsts])
+                order = np.argsort(token, kind="stable")
+                groups = np.split(who[order], np.flatnonzero(first_in_order([token[order]]))[1:])
+                found = exact_links(np.array(list(held), np.int64), [x for _, x in held.values()], join, [g for g in groups if len(g) > 1])
+                found = np.array(found, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found[:, 0], found[:, 1])), pa.array(np.maximum(found[:, 0], found[:, 1]))], ["a", "b"])
+
+        for batch in batches:
+            for number, node, first, tokens in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if number != shard:
+                    yield from pairs()
+                    shard, held = number, {}
+                # a set comes once from each partition that has it; the copies are equal
+                held.setdefault(node, (np.frombuffer(first, U), np.frombuffer(tokens, U)))
+        yield from pairs()
+
+    sent = mapped(rows.select("text"), send, "shard long, node long, first binary, tokens binary")
+    return mapped(sent.repartition(F.col("shard")).sortWithinPartitions("shard"), meet, "a long, b long").distinct()
+
+
 def links(rows: DataFrame, join: Join) -> DataFrame:
     """(a, b): links between different sets, enough of them to connect all that are connected."""
     words = shingle_count(rows)
@@ -413,7 +478,7 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
         return np.concatenate([beginnings(distinct_sets(batch, join, seen), join, frequent)[1] for batch in steps(big)] or [np.zeros(0, U)])
 
     shared = sketch.build(rows.select("text"), first_ones, int(words * (1 - join.share / 100)))
-    pairs = written(candidate_pairs(rows, join, frequent, shared, words, BITS, False, None))
+    pairs = written(candidate_pairs(rows, join, frequent, shared, words))
     told = written(verified(rows, pairs, join))
     found, failed = told.filter("linked").select("a", "b"), told.filter("not linked")
     if failed.isEmpty():
@@ -425,9 +490,7 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
     found = found.union(settled(rows, again.filter(F.col("n") <= MOST_PART), join))
     large = again.filter(F.col("n") > MOST_PART).select("node")
     if not large.isEmpty():
-        only = filter_of(large, large.count())
-        every = written(candidate_pairs(rows, join, frequent, shared, words, SETTLE_BITS, True, only))
-        found = found.union(verified(rows, every, join).filter("linked").select("a", "b"))
+        found = found.union(settled_in_tiles(rows, filter_of(large, large.count()), join, frequent, shared, words))
     return found
 
 

@@ -264,6 +264,25 @@ def test_op7(spark, docs, none, rows, monkeypatch, width, share, tile, part):
     assert multiset(got, "doc_id", "n_shingles", "component_id") == brute_components(mine, width, share)
 
 
+def test_op7_large_part_without_all_pairs(spark, monkeypatch):
+    """A large part in which pairs fail is settled without sending all its pairs to the exact test."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    near = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(r.choice([1, 5])):
+            t[r.randrange(200)] = f"x{r.randrange(10**9)}"
+        near.append((i, " ".join(t)))
+    counts, exact = [], op7_jaccard_join.verified
+    monkeypatch.setattr(op7_jaccard_join, "MOST_PART", 2)
+    monkeypatch.setattr(op7_jaccard_join, "BITS", 0.01)
+    monkeypatch.setattr(op7_jaccard_join, "verified", lambda rows, pairs, join: (counts.append(pairs.count()), exact(rows, pairs, join))[1])
+    got = op7_jaccard_join.jaccard_components(table(spark, near))
+    assert multiset(got, "doc_id", "n_shingles", "component_id") == brute_components(near, 3, 90)
+    assert sum(counts) < 10 * len(near)
+
+
 def test_op7_one_of_each(spark, docs, none, rows):
     kept = op7_jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
