@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import flat, mix, split_words, steps
-from .common import documents, mapped
+from .common import documents, mapped, written
 
-#: Labelled documents at most that the fit sees, and lines at most of one of them; both bound what reaches the driver.
+#: Labelled documents at most that the fit sees, and lines of a stretch in which it walks along them.  Documents are chosen
+#: whole, as long as they have no more lines than so many stretches together; this bounds what reaches the driver.
 TRAIN_DOCS, TRAIN_LINES = 4000, 500
 ROUNDS, RATE, L2 = 200, 0.1, 1e-3
 THRESHOLD = 0.3
@@ -136,19 +137,23 @@ def marginals(chain: Chain, x: np.ndarray, line_at: np.ndarray) -> tuple[np.ndar
     return both[:, 1] / both.sum(1), counts, float(np.log(scale).sum())
 
 
-def fit(own: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, rate: float = RATE, l2: float = L2) -> Chain:
-    """Maximum likelihood with an L2 penalty, by Adam over all documents in each round.  Without documents: all zeros."""
+def fit(own: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, rate: float = RATE, l2: float = L2, lines: int = TRAIN_LINES) -> Chain:
+    """Maximum likelihood with an L2 penalty, by Adam over all documents in each round.  Without documents: all zeros.
+
+    All lines count; the chain starts anew every ``lines`` lines, so a long document doesn't make a round long.
+    """
     k = 3 * len(OWN) + 1
     if not own:
         return Chain(np.zeros(k), np.zeros((2, 2)))
     line_at = np.concatenate([[0], np.cumsum([len(o) for o in own])])
     x = with_neighbours(np.concatenate(own), line_at)
-    size = np.diff(line_at)
-    y = np.repeat(np.array(labels), size)
+    y = np.repeat(np.array(labels), np.diff(line_at))
+    line_at = np.concatenate([*[np.arange(a, b, lines) for a, b in zip(line_at, line_at[1:], strict=False)], line_at[-1:]])
+    size, of_stretch = np.diff(line_at), y[line_at[:-1]]
     # each document counts once, however many lines it has
     seen = np.zeros((2, 2))
     for label in (0, 1):
-        seen[label, label] = (size - 1)[np.array(labels) == label].sum()
+        seen[label, label] = (size - 1)[of_stretch == label].sum()
     theta = np.zeros(k + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
@@ -187,8 +192,9 @@ def document_scores(chain: Chain, texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Chain:
-    """Fit on the ``rows`` labelled documents with the smallest hashes of their ids; of each the first ``lines`` lines.
+    """Fit on the ``rows`` labelled documents with the smallest hashes of their ids, whole, while they have ``rows * lines`` lines at most.
 
+    A document that has more than that alone is passed over.
     Rows of ``labels`` without a quality or id don't count; of several for one id the smallest quality does.
     """
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_label"))
@@ -199,14 +205,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS, lines: int
         for big in batches:
             for batch in steps(big):
                 own, size, at = line_features(batch.column("text"))
-                some = [[x[a : min(b, a + lines)].tobytes() for a, b in zip(at, at[1:], strict=False)] for x in (own, size.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *[pa.array(x, pa.binary()) for x in some]], ["doc_id", "label", "own", "size"])
-
-    got = mapped(pairs, features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label long, own binary, size binary").collect()
+                some = [[x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)] for x in (own, size.astype(np.int64))]
+                columns = [batch.column("doc_id"), batch.column("label"), *[pa.array(x, pa.binary()) for x in some], pa.array(np.diff(at), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "own", "size", "n"])
+
+    count = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    pairs = pairs.filter(F.coalesce(count, F.lit(1)) <= rows * lines)
+    made = written(mapped(pairs, features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label long, own binary, size binary, n long"))
+    made = made.withColumn("_key", F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("own", "size")))
+    before = Window.orderBy("_key")
+    slim = made.select("_key", F.sum("n").over(before).alias("lines"), F.count(F.lit(1)).over(before).alias("rows"))
+    last = slim.filter((F.col("lines") <= rows * lines) & (F.col("rows") <= rows)).agg(F.max("_key").alias("last"))
+    got = made.join(F.broadcast(last), F.col("_key") <= F.col("last")).select("doc_id", "label", "own", "size").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.own)))  # the sums' order decides their last bits
-    got = got[:rows]
     own, labels = [np.frombuffer(r.own, np.float32).reshape(-1, len(OWN)) for r in got], [r.label for r in got]
-    chain = fit(own, labels)
+    chain = fit(own, labels, lines=lines)
     if not got:
         return chain
     line_at = np.concatenate([[0], np.cumsum([len(o) for o in own])])

@@ -390,6 +390,15 @@ def test_op10(spark, docs, none):
     assert op10_quality_classifier.scored(none, op10_quality_classifier.train(none, labels)).count() == 0
 
 
+def test_op10_whole_documents(spark):
+    """What makes a document bad may stand after its first lines."""
+    opening, rest = ["The river runs by the house, and the old tree stands."] * 5, ["WIN!!! $$$ ### MONEY!!!", "| a | b | c |"] * 10
+    train = table(spark, [(i, "\n".join(opening if i % 2 else opening + rest)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    both = op10_quality_classifier.scored(train, op10_quality_classifier.train(train, labels, lines=5))
+    assert both.filter("doc_id % 2 = 1").agg(F.min("score")).first()[0] > 0.7 and both.filter("doc_id % 2 = 0").agg(F.max("score")).first()[0] < 0.3
+
+
 def test_op10_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = op10_quality_classifier.op10_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out")
