@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 from collections.abc import Iterable
@@ -71,6 +72,9 @@ def composed() -> Column:
 def read_header(spark: SparkSession, path: str) -> Header:
     """The header of a file, from its first lines only."""
     text, n = spark.read.option("lineSep", "\n").text(path), 64
+    if len(files := sorted(text.inputFiles())) > 1:
+        # Spark reads large files first; the header is in the first by name
+        text = text.filter(F.regexp_replace("_metadata.file_path", r"^(\w+):/+", "$1:/") == re.sub(r"^(\w+):/+", r"\1:/", files[0]))
     while True:
         head = [r.value for r in text.take(n)]
         if head and detect_format_from_magic(head[0].encode("utf-8", "surrogateescape")):
@@ -117,14 +121,16 @@ def to_text(vs: VariantSet) -> str:
 
 
 def write_vcf(vs: VariantSet, path: str, single: bool = True, compression: str = "none") -> None:
-    """A folder of text: the header, then the records in order.  ``single`` makes one part file."""
+    """A folder of text: the header, then the records in order.  ``single`` makes one part file, else the header is the first of several."""
     reject_bcf_output(path)
     spark = vs.df.sparkSession
     head = spark.createDataFrame([(i, line) for i, line in enumerate(vs.header.render())], "at long, value string")
     by = [c for c in ("row_id", "alt_idx") if c in vs.df.columns]
+    body = vs.df.orderBy(*by).select(F.col("line").alias("value"))
+    first = head.orderBy("at").select("value").coalesce(1)
     if not single:
-        vs.df.orderBy(*by).select(F.col("line").alias("value")).write.mode("overwrite").option("compression", compression).text(path)
+        # the header as one row, in the first part file: a union keeps the order of its parts
+        whole = spark.range(0, 1, 1, 1).select(F.lit("\n".join(vs.header.render())).alias("value"))
+        whole.union(body).write.mode("overwrite").option("compression", compression).text(path)
         return
-    first = head.orderBy("at").select("value").coalesce(1)
-    body = vs.df.orderBy(*by).select(F.col("line").alias("value"))
     first.union(body).coalesce(1).write.mode("overwrite").option("compression", compression).text(path)

@@ -178,6 +178,15 @@ def test_files(spark, tmp_path):
     assert detect_format_from_magic(b"BCF\x02x") and not detect_format_from_magic(b"BC") and is_compressed_path("a.vcf.bgz") and not is_compressed_path("a.vcf")
 
 
+def test_several_part_files(spark, tmp_path):
+    lines = [*HEAD, *[row(pos=p) for p in range(1, 401)]]
+    write_vcf(from_lines(spark, lines), f"file://{tmp_path}/out", single=False)
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert len(parts) > 1 and parts[0].read_text().startswith("##fileformat")
+    back = read_vcf(spark, f"file://{tmp_path}/out")
+    assert back.header.render() == from_lines(spark, lines).header.render() and to_text(back).split("\n")[-401:-1] == lines[-400:]
+
+
 @pytest.mark.parametrize(("a", "b", "most", "want"), [("", "A", 8, 0), ("A", "C", 8, 0), ("ACGT", "ACGA", 8, 3), ("ACGT", "ACGT", 2, 2), ("A" * 300, "A" * 299 + "C", 512, 299), ("A" * 7, "A" * 9, 128, 7)])
 def test_common_prefix(spark, a, b, most, want):
     from pyspark.sql import functions as F
