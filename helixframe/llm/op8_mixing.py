@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, words
+from .common import documents, words, written
 
 #: Fixed values of the query: weights in turn, share of all words, copies of a source at most.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Sources and patterns that the driver's flow problem may have; more raises an error.
+#: Patterns of several sources that the driver's flow problem may have; more raises an error.
 MOST_PATTERNS = 100_000
 #: Hexadecimal digits of the seeded hash that number the ranges in which documents are ordered.
 DIGITS = 3
@@ -80,7 +80,30 @@ class Plan:
 
 
 def route(patterns: list[tuple[tuple[int, ...], int]], targets: list[float], most: int) -> Plan:
-    """patterns: (numbers of its sources, words).  Whole words are routed; copy k costs k."""
+    """patterns: (numbers of its sources, words).  Whole words are routed; copy k costs k.
+
+    A source that shares no document takes its own pattern's words as its target says; the others make a flow problem.
+    """
+    shared = {s for members, _ in patterns if len(members) > 1 for s in members}
+    number = {s: i for i, s in enumerate(sorted(shared))}
+    copies, flows = [[0] * most for _ in patterns], [{} for _ in patterns]
+    together = []
+    for p, (members, words_) in enumerate(patterns):
+        if len(members) == 1 and members[0] not in shared:
+            n = min(int(targets[members[0]]), most * words_)
+            copies[p] = [min(max(n - k * words_, 0), words_) for k in range(most)]
+            flows[p] = {members[0]: n}
+        elif members:
+            together.append(p)
+    if together:
+        plan = _flow_route([(tuple(number[s] for s in patterns[p][0]), patterns[p][1]) for p in together], [targets[s] for s in sorted(shared)], most)
+        names = sorted(shared)
+        for p, c, f in zip(together, plan.copies, plan.flows, strict=True):
+            copies[p], flows[p] = c, {names[s]: n for s, n in f.items()}
+    return Plan(copies, flows)
+
+
+def _flow_route(patterns: list[tuple[tuple[int, ...], int]], targets: list[float], most: int) -> Plan:
     np_, ns = len(patterns), len(targets)
     start, end = np_ + ns, np_ + ns + 1
     arcs = [(start, p, words_, k) for p, (_, words_) in enumerate(patterns) for k in range(1, most + 1)]
@@ -107,9 +130,11 @@ def mix_to_targets(docs: DataFrame, members: Column, size: Column, targets_of, m
     spark = docs.sparkSession
     rows = docs.withColumn("_size", size.cast("bigint")).withColumn("__mix_members", F.array_sort(F.array_distinct(members)))
     rows = rows.withColumn("__mix_pattern", F.to_json(F.struct(F.transform("__mix_members", lambda m: F.struct(m.alias("name"))).alias("m"))))
-    totals = rows.groupBy("__mix_pattern").agg(F.first("__mix_members").alias("names"), F.sum("_size").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(totals) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    totals = rows.groupBy("__mix_pattern").agg(F.first("__mix_members").alias("names"), F.sum("_size").alias("n"))
+    totals = written(totals)
+    if totals.filter(F.size("names") > 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns of several sources")
+    totals = totals.collect()
     names = sorted({m for r in totals for m in r.names}, key=lambda m: (m is None, m or ""))
     number = {m: i for i, m in enumerate(names)}
     sizes = [0] * len(names)
@@ -130,7 +155,7 @@ def mix_to_targets(docs: DataFrame, members: Column, size: Column, targets_of, m
     ranges = ranges.select(*key, ahead.alias("__mix_ahead"))
     inside = Window.partitionBy(*key).orderBy("__mix_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__mix_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    rows = rows.join(ranges, key).join(F.broadcast(of_pattern), "__mix_pattern")
+    rows = rows.join(ranges, key).join(F.broadcast(of_pattern) if len(totals) <= MOST_PATTERNS else of_pattern, "__mix_pattern")
     twice = 2 * (F.col("__mix_ahead") + F.col("__mix_before")) + F.col("_size")
     copies = F.aggregate("__mix_takes", F.lit(0), lambda a, t: a + F.when(twice <= 2 * t, 1).otherwise(0))
     rows = rows.withColumn("_copies", copies).drop("__mix_members", "__mix_pattern", "__mix_order", "__mix_range", "__mix_before", "__mix_ahead", "__mix_takes")

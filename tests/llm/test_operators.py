@@ -322,6 +322,14 @@ def test_op8(docs, none, rows, spark):
     assert op8_mixing.mix_to_targets(none, F.array("source"), F.lit(1), op8_mixing.default_targets)[0].count() == 0
 
 
+def test_op8_many_sources(spark, docs, monkeypatch):
+    """Sources that share no document need no flow, however many they are."""
+    mixed = lambda: multiset(op8_mixing.mix_to_targets(docs, F.array("source"), op8_mixing.word_count(F.col("text")), op8_mixing.default_targets)[0], "doc_id", "text", "_copies")
+    want = mixed()
+    monkeypatch.setattr(op8_mixing, "MOST_PATTERNS", 1)
+    assert mixed() == want
+
+
 def test_op8_flow():
     plan = op8_mixing.route([((0,), 10), ((0, 1), 10), ((1,), 5)], [15.0, 25.0], 2)
     assert sum(f.get(0, 0) for f in plan.flows) == 15 and sum(f.get(1, 0) for f in plan.flows) == 25
