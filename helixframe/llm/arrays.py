@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes at most that one step works on, unless a single document is longer.
-STEP_BYTES = 4 << 20
+#: Bytes at most that one step works on, unless a single document is longer.  A step takes about a hundred times as many.
+STEP_BYTES = 1 << 20
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,21 +35,25 @@ _BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(ODD_A))
 
 
 class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as they were asked for."""
+    """Powers of an odd number and of its inverse modulo 2**64; those that a step needs are kept, longer ones are not."""
 
     def __init__(self, odd: int):
         self.odd, self.inverse = odd, pow(odd, -1, 1 << 64)
         self.up = self.down = np.ones(1, U)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            factors = np.full(n, self.odd, U)
-            factors[0] = 1
-            self.up = np.cumprod(factors, dtype=U)
-            factors[1:] = self.inverse
-            self.down = np.cumprod(factors, dtype=U)
-        return self.up, self.down
+        if len(self.up) >= n:
+            return self.up, self.down
+        most = STEP_BYTES + 1
+        m = n if n > most else min(most, max(n, 2 * len(self.up)))
+        factors = np.full(m, self.odd, U)
+        factors[0] = 1
+        up = np.cumprod(factors, dtype=U)
+        factors[1:] = self.inverse
+        down = np.cumprod(factors, dtype=U, out=factors)
+        if m <= most:
+            self.up, self.down = up, down
+        return up, down
 
 
 _POWERS = {ODD_A: Powers(ODD_A), ODD_B: Powers(ODD_B)}

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: What separates words: space and the five ASCII controls from tab to carriage return.
 WORD_SEP = r"[\x20\x09-\x0D]+"
+#: Bytes at most of an Arrow batch; the setting's name and its default.
+BATCH_BYTES, BATCH_BOUND = 8 << 20, ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +60,14 @@ def words(text: Column) -> Column:
 
 
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df.mapInArrow``; workers that start where this one runs find this package although it isn't installed."""
-    environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).parents[2])
+    """``df.mapInArrow``; workers that start where this one runs find this package although it isn't installed.
+
+    Batches are bounded in bytes, unless the session has a bound of its own: texts have no length that rows could bound.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BOUND[0]) == BATCH_BOUND[1]:
+        spark.conf.set(BATCH_BOUND[0], str(BATCH_BYTES))
+    environment, root = spark.sparkContext.environment, str(Path(__file__).parents[2])
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
