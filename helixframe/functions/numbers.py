@@ -10,14 +10,18 @@ INTEGER = r"\A([+-]?[0-9]+)\z"
 FLOAT = r"\A(?:[+-](?=(?i:nan)\z))?((?i:nan)|[+-]?(?:(?i:inf|infinity)|(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))\z"
 
 
+#: Texts that every reader takes for the same number, and that need no closer look.
+PLAIN_INTEGER, PLAIN_FLOAT = r"\A[0-9]{1,18}\z", r"\A[0-9]+(?:\.[0-9]+)?\z"
+
+
 def to_long(text: Column) -> Column:
     """The whole number that a text is, else null; Spark's casts would also take spaces."""
-    return F.regexp_extract(text, INTEGER, 1).try_cast("bigint")
+    return F.when(text.rlike(PLAIN_INTEGER), text.try_cast("bigint")).otherwise(F.regexp_extract(text, INTEGER, 1).try_cast("bigint"))
 
 
 def to_double(text: Column) -> Column:
     """The number that a text is, else null; not ``1d``, ``1.0f`` or `` 5 ``."""
-    return F.regexp_extract(text, FLOAT, 1).try_cast("double")
+    return F.when(text.rlike(PLAIN_FLOAT), text.try_cast("double")).otherwise(F.regexp_extract(text, FLOAT, 1).try_cast("double"))
 
 
 def let(value: Column, body) -> Column:

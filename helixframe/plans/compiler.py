@@ -15,8 +15,11 @@ from helixframe.sources.header import Header
 
 def info_text(key: str) -> Column:
     """The first entry of the key in INFO: its value, ``1`` for a bare key, null for ``.`` or none."""
-    entry = F.get(F.regexp_extract_all("info", F.lit(rf"(?:\A|;)({key}(?:=[^;]*)?)(?=;|\z)"), F.lit(1)), F.lit(0))
-    return F.nullif(F.substring(F.regexp_replace(entry, rf"\A{key}\z", f"{key}=1"), len(key) + 2, 1 << 30), F.lit("."))
+    entries, valued, bare = F.concat(F.lit(";"), F.col("info"), F.lit(";")), f";{key}=", f";{key};"
+    value = F.when(F.contains(entries, F.lit(valued)), F.split_part(F.split_part(entries, F.lit(valued), F.lit(2)), F.lit(";"), F.lit(1)))
+    # what comes before the first entry with a value, or all of it
+    bare_first = F.contains(F.concat(F.substring_index(entries, valued, 1), F.lit(";")), F.lit(bare))
+    return F.nullif(F.when(F.contains(entries, F.lit(bare)) & bare_first, F.lit("1")).otherwise(value), F.lit("."))
 
 
 def format_text(key: str) -> Column:

@@ -100,13 +100,21 @@ def left_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(normalize(view.variants(spark, sf_dir), view.reference(spark), split=False, check_ref="ignore"), "chrom", "pos", "ref", "alt")
 
 
-def normalize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(normalize(view.variants(spark, sf_dir), view.reference(spark)), "chrom", "pos", "ref", "alt")
+#: The headline queries over any variants with the view's header, so that they can be timed over a file as well.
+HEADLINE: dict[str, Callable[[VariantSet], VariantSet]] = {
+    "filter_af": lambda vs: filter_variants(vs, FILTERS["filter_af"][0]),
+    "filter_pass": lambda vs: filter_variants(vs, FILTERS["filter_pass"][0]),
+    "normalize_fast": lambda vs: normalize(vs, view.reference(vs.df.sparkSession), split=False, fast=True),
+    "normalize_no_split": lambda vs: normalize(vs, view.reference(vs.df.sparkSession), split=False),
+    "normalize_full": lambda vs: normalize(vs, view.reference(vs.df.sparkSession)),
+    "liftover_refcheck": lambda vs: liftover(vs, view.chain(vs.df.sparkSession), target_ref=view.target(vs.df.sparkSession))[0],
+    "normalize_liftover_filter": lambda vs: flagship(vs),
+}
 
 
-def normalize_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = normalize(view.variants(spark, sf_dir), view.reference(spark), split=False, left_align=False, check_ref="ignore", fast=True)
-    return out.df.filter("alt not like '%,%'").select("line")
+def headline(name: str) -> Query:
+    """Whole lines, as a file of them would hold."""
+    return lambda spark, sf_dir: HEADLINE[name](view.variants(spark, sf_dir)).df.select("line")
 
 
 def normalize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +152,6 @@ def liftover_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.df.select("chrom", "pos", info_text("SRC_CONTIG").alias("src_contig"), info_text("SRC_POS").alias("src_pos")).groupBy("chrom", "pos", "src_contig", "src_pos").agg(F.count(F.lit(1)).alias("n"))
 
 
-def liftover_refcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(_lifted(target_ref=view.target(spark))(spark, sf_dir), "chrom", "pos", "ref", "alt")
-
-
 def liftover_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lifted(target_ref=view.target(spark))(spark, sf_dir).figures
 
@@ -161,12 +165,10 @@ def filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_variants(view.variants(spark, sf_dir), "INFO/AF < 0.05").figures
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship(vs: VariantSet) -> VariantSet:
     """Normalized, lifted and filtered."""
-    vs = normalize(view.variants(spark, sf_dir), view.reference(spark))
-    lifted, _ = liftover(vs, view.chain(spark), write_src_coords=True)
-    kept = filter_variants(lifted, "INFO/AF < 0.05 && FILTER == 'PASS' || INFO/SRC_POS > 350")
-    return _counted(kept, "chrom", "pos", "ref", "alt")
+    lifted, _ = liftover(HEADLINE["normalize_full"](vs), view.chain(vs.df.sparkSession), write_src_coords=True)
+    return filter_variants(lifted, "INFO/AF < 0.05 && FILTER == 'PASS' || INFO/SRC_POS > 350")
 
 
 # ---- the same in SQL
@@ -184,7 +186,10 @@ UNION ALL SELECT v.*, 1 AS k, split_part(alt, ',', 2), {_SHORT.format('(d + 20)'
 
 
 def _aligned(source: str) -> str:
-    """CTEs that move the indels of ``source`` (chrom, pos, ref, alt, n) step by step; result: done(chrom, pos, ref, alt, n)."""
+    """CTEs that move the indels of ``source`` (chrom, pos, ref, alt, n) step by step; result: done(chrom, pos, ref, alt, ...).
+
+    Other columns of ``source`` go along.
+    """
     return f"""
 todo AS (SELECT DISTINCT pos AS p0, ref AS r0, alt AS a0 FROM {source} WHERE len(ref) <> len(alt) AND alt NOT LIKE '<%' AND alt NOT LIKE '%,%'),
 shift AS (SELECT p0, r0, a0, p0 AS p, r0 AS r, a0 AS a FROM todo
@@ -192,8 +197,8 @@ shift AS (SELECT p0, r0, a0, p0 AS p, r0 AS r, a0 AS a FROM todo
 lefts AS (SELECT p0, r0, a0, min(p) AS p, arg_min(r, p) AS r, arg_min(a, p) AS a FROM shift GROUP BY p0, r0, a0),
 trim_ AS (SELECT * FROM lefts UNION ALL SELECT p0, r0, a0, p + 1, substr(r, 2), substr(a, 2) FROM trim_ WHERE len(r) > 1 AND len(a) > 1 AND left(r, 1) = left(a, 1)),
 ends AS (SELECT p0, r0, a0, max(p) AS p, arg_max(r, p) AS r, arg_max(a, p) AS a FROM trim_ GROUP BY p0, r0, a0),
-done AS (SELECT s.chrom, CASE WHEN e.p IS NULL OR s.chrom = 'chr4' THEN s.pos ELSE e.p END AS pos, CASE WHEN e.p IS NULL OR s.chrom = 'chr4' THEN s.ref ELSE e.r END AS ref,
-  CASE WHEN e.p IS NULL OR s.chrom = 'chr4' THEN s.alt ELSE e.a END AS alt, s.n, s.pos AS from_pos, s.ref AS from_ref, s.alt AS from_alt FROM {source} s LEFT JOIN ends e ON s.pos = e.p0 AND s.ref = e.r0 AND s.alt = e.a0)"""
+done AS (SELECT s.* EXCLUDE (pos, ref, alt), CASE WHEN e.p IS NULL OR s.chrom = 'chr4' THEN s.pos ELSE e.p END AS pos, CASE WHEN e.p IS NULL OR s.chrom = 'chr4' THEN s.ref ELSE e.r END AS ref,
+  CASE WHEN e.p IS NULL OR s.chrom = 'chr4' THEN s.alt ELSE e.a END AS alt, s.pos AS from_pos, s.ref AS from_ref, s.alt AS from_alt FROM {source} s LEFT JOIN ends e ON s.pos = e.p0 AND s.ref = e.r0 AND s.alt = e.a0)"""
 
 
 _WITH = "WITH RECURSIVE" + V.removeprefix("WITH")
@@ -216,6 +221,15 @@ _MATCH = f"(new_alt LIKE '<%' OR coalesce(substr(CASE {_TARGET} END, cast(t0 + 1
 _LIFTED = "SELECT tgt AS chrom, cast(t0 + 1 AS string) AS pos, new_ref AS ref, new_alt AS alt, count(*) AS n FROM l WHERE {0} GROUP BY ALL"
 
 
+#: Records as they are, or one for each alternative, with their rewritten values.
+_WHOLE = f"SELECT chrom, pos, ref, alt, qual, filter, line, two, t, {_INFO.format(af='CASE WHEN two = 1 THEN ' + _SHORT.format('d') + chr(32) + '|| chr(44) || ' + _SHORT.format('(d + 20)') + ' ELSE ' + _SHORT.format('d') + ' END', ad='ad', pl='pl')} AS new_info, concat_ws(':', '0/1', ad, gq) AS sample FROM v"
+_EACH = f"SELECT chrom, pos, ref, one_alt AS alt, qual, filter, {_INFO.format(af='af1', ad='ad1', pl='pl1')} AS new_info, concat_ws(':', '0/1', ad1, gq) AS sample, has_af = 1 AND CASE WHEN k = 0 THEN d ELSE d + 20 END < 5 AND flag = 'R' AS rare FROM parts"
+
+
+def _line(chrom: str = "chrom", pos: str = "pos", ref: str = "ref", alt: str = "alt", more: str = "") -> str:
+    return f"concat_ws(chr(9), {chrom}, cast({pos} AS string), '.', {ref}, {alt}, qual, filter, new_info{more}, 'GT:AD:GQ', sample)"
+
+
 def _mismatch(row: str = "") -> str:
     return f"(alt NOT LIKE '<%' AND chrom <> 'chr4' AND left(ref, 1) <> substr({G}, cast(pos AS int), 1))"
 
@@ -236,8 +250,9 @@ ORACLES |= {
     "oob_drop": f"{V} SELECT chrom, cast(pos AS string) AS pos, count(*) AS n FROM v WHERE pos <= 400 GROUP BY ALL",
     "ref_check": f"{V} SELECT count(*) AS input, count(*) FILTER (WHERE pos > 400) AS out_of_bounds, count(*) FILTER (WHERE pos <= 400 AND {_mismatch()}) AS ref_mismatches FROM v",
     "left_align": f"{_WITH}, src AS (SELECT chrom, pos, ref, alt, count(*) AS n FROM v WHERE pos <= 400 GROUP BY ALL), {_aligned('src')} SELECT chrom, cast(pos AS string) AS pos, ref, alt, cast(sum(n) AS bigint) AS n FROM done GROUP BY ALL",
-    "normalize_full": f"{_PARTS_R}, src AS (SELECT chrom, pos, ref, one_alt AS alt, count(*) AS n FROM parts GROUP BY ALL), {_aligned('src')} SELECT chrom, cast(pos AS string) AS pos, ref, alt, cast(sum(n) AS bigint) AS n FROM done GROUP BY ALL",
-    "normalize_fast": f"{V} SELECT line FROM v WHERE two = 0 AND (pos <= 400 OR t = 5)",
+    "normalize_full": f"{_PARTS_R}, src AS ({_EACH}), {_aligned('src')} SELECT {_line()} AS line FROM done",
+    "normalize_no_split": f"{_WITH}, src AS ({_WHOLE} WHERE pos <= 400), {_aligned('src')} SELECT {_line()} AS line FROM done",
+    "normalize_fast": f"{_WITH}, src AS ({_WHOLE} WHERE pos <= 400 OR t = 5), {_aligned('src')} SELECT CASE WHEN t = 5 OR two = 0 AND len(from_ref) = len(from_alt) THEN line ELSE {_line()} END AS line FROM done",
     "normalize_stats": f"""{_PARTS_R}, src AS (SELECT chrom, pos, ref, one_alt AS alt, count(*) AS n FROM parts GROUP BY ALL), {_aligned('src')}
 SELECT (SELECT count(*) FROM v) AS input, (SELECT count(*) FROM v WHERE pos > 400) AS out_of_bounds, (SELECT count(*) FROM v WHERE pos <= 400 AND {_mismatch()}) AS ref_mismatches, (SELECT count(*) FROM v WHERE pos <= 400 AND two = 1) AS split_sites,
   (SELECT count(*) FROM parts) AS output, (SELECT cast(sum(n) AS bigint) FROM done WHERE pos <> from_pos OR ref <> from_ref OR alt <> from_alt) AS left_aligned""",
@@ -247,20 +262,21 @@ SELECT (SELECT count(*) FROM v) AS input, (SELECT count(*) FROM v WHERE pos > 40
     "liftover_no_flip": f"{V}, {_lift('v')} SELECT tgt AS chrom, count(*) AS n FROM l WHERE strand = '+' GROUP BY ALL",
     "liftover_rejects": f"{V}, {_lift('v')} SELECT line FROM l WHERE src IS NULL",
     "liftover_src": f"{V}, {_lift('v')} SELECT tgt AS chrom, cast(t0 + 1 AS string) AS pos, chrom AS src_contig, cast(pos AS string) AS src_pos, count(*) AS n FROM l WHERE src IS NOT NULL GROUP BY ALL",
-    "liftover_refcheck": f"{V}, {_lift('v')} {_LIFTED.format('src IS NOT NULL AND ' + _MATCH)}",
+    "liftover_refcheck": f"{V}, w AS ({_WHOLE}), {_lift('w')} SELECT {_line('tgt', 't0 + 1', 'new_ref', 'new_alt')} AS line FROM l WHERE src IS NOT NULL AND {_MATCH}",
     "liftover_stats": f"""{V}, {_lift('v')} SELECT count(*) AS input, count(*) FILTER (WHERE src IS NOT NULL AND {_MATCH}) AS output, count(*) FILTER (WHERE src IS NULL) AS rejected_unmapped,
   count(*) FILTER (WHERE src IS NOT NULL AND NOT {_MATCH}) AS rejected_ref_mismatch, count(*) FILTER (WHERE strand = '-' AND {_MATCH}) AS swapped_alleles FROM l""",
     "revcomp": f"{V} SELECT ref, {_FLIP.format('ref')} AS flipped, count(*) AS n FROM v GROUP BY ALL",
-    "normalize_liftover_filter": f"""{_PARTS_R}, src AS (SELECT chrom, pos, ref, one_alt AS alt, CASE WHEN has_af = 1 AND CASE WHEN k = 0 THEN d ELSE d + 20 END < 5 AND flag = 'R' THEN 1 ELSE 0 END AS n FROM parts), {_aligned('src')}, {_lift('done')}
-SELECT tgt AS chrom, cast(t0 + 1 AS string) AS pos, new_ref AS ref, new_alt AS alt, count(*) AS n FROM l WHERE src IS NOT NULL AND (n = 1 OR pos > 350) GROUP BY ALL""",
+    "normalize_liftover_filter": f"""{_PARTS_R}, src AS ({_EACH}), {_aligned('src')}, {_lift('done')}
+SELECT {_line('tgt', 't0 + 1', 'new_ref', 'new_alt', " || ';SRC_CONTIG=' || chrom || ';SRC_POS=' || cast(pos AS string)")} AS line FROM l WHERE src IS NOT NULL AND (rare OR pos > 350)""",
 }
 
 QUERIES: dict[str, Query] = {name: _filter(expression) for name, (expression, _) in FILTERS.items()}
+QUERIES |= {name: headline(name) for name in HEADLINE}
 QUERIES |= {
     "filter_invert": _filter("FILTER == 'PASS'", invert=True),
     "filter_stats": filter_stats, "info_lookup": info_lookup, "format_lookup": format_lookup, "header_fields": header_fields, "split": split,
     "split_number_a": _split_values("AF"), "split_number_r": _split_values("AD"), "split_number_g": _split_values("PL"), "split_format": _split_values("AD", format_text),
-    "symbolic_bypass": symbolic_bypass, "oob_drop": oob_drop, "ref_check": ref_check, "left_align": left_align, "normalize_full": normalize_full, "normalize_fast": normalize_fast, "normalize_stats": normalize_stats,
+    "symbolic_bypass": symbolic_bypass, "oob_drop": oob_drop, "ref_check": ref_check, "left_align": left_align, "normalize_stats": normalize_stats,
     "chain_blocks": chain_blocks, "liftover_plus": liftover_plus, "liftover_minus": liftover_minus, "liftover_no_flip": liftover_no_flip, "liftover_rejects": liftover_rejects, "liftover_src": liftover_src,
-    "liftover_refcheck": liftover_refcheck, "liftover_stats": liftover_stats, "revcomp": revcomp, "normalize_liftover_filter": flagship,
+    "liftover_stats": liftover_stats, "revcomp": revcomp,
 }

@@ -55,12 +55,17 @@ def reject_bcf_output(path: str | None) -> None:
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Raw columns from (row_id, value); lines that start with # are left out, short ones have n_cols < 8."""
-    rows = lines.filter(~F.col("value").startswith("#")).withColumn("_p", F.split("value", "\t"))
-    cut = lambda i: F.regexp_replace(F.coalesce(F.get("_p", F.lit(i)), F.lit("")), r"[\r\n]+\z", "")
+    """Raw columns from (row_id, value); lines that start with # are left out, short ones have n_cols < 8.
+
+    The samples are cut apart only where a plan reads them; n_cols counts them as one.
+    """
+    rows = lines.filter(~F.col("value").startswith("#")).withColumn("_p", F.split("value", "\t", len(FIXED) + 1))
+    bare = lambda text: F.rtrim(text, F.lit("\r\n"))
     plain = [F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(FIXED[:7])]
-    last = F.transform(F.slice("_p", 10, 1 << 20), lambda s: F.regexp_replace(s, r"[\r\n]+\z", ""))
-    return rows.select("row_id", F.col("value").alias("line"), *plain, cut(7).alias("info"), cut(8).alias("format"), last.alias("samples"), F.size("_p").alias("n_cols"))
+    last = [bare(F.coalesce(F.get("_p", F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(FIXED[7:], 7)]
+    rest = F.get("_p", F.lit(len(FIXED)))
+    samples = F.when(rest.isNull(), F.array().cast("array<string>")).otherwise(F.split(bare(rest), "\t"))
+    return rows.select("row_id", F.col("value").alias("line"), *plain, *last, samples.alias("samples"), F.size("_p").alias("n_cols"))
 
 
 def composed() -> Column:
