@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +12,43 @@ from helixframe.functions.numbers import let, plain_text, to_double
 from helixframe.sources.header import Header, HeaderLine
 
 
-def settled(rows: DataFrame, **columns: Column) -> DataFrame:
-    """``rows`` with computed columns as attributes of their own, added or replaced.
+#: Declared Float fields up to which a record is first looked at as a whole.
+FEW = 16
+
+
+def once(value: Column) -> Column:
+    """``value``, computed where it stands: the optimizer does not copy it into the expressions and filters above.
 
-    Later filters on them stay above and those on other columns still move down; without this the optimizer copies long
-    expressions into filters and constraints, and planning takes minutes.
+    The condition always holds and costs nothing, but it is not deterministic to the optimizer.  Long expressions that many
+    others read would otherwise be computed again for each of them, and planning would take minutes.
     """
-    made = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(made)))
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns added or replaced, each computed once."""
+    return rows.select(*[c for c in rows.columns if c not in columns], *[once(c).alias(n) for n, c in columns.items()])
+
+
+def info_value(key: str, info: Column | None = None) -> Column:
+    """The value of the first entry of the key in INFO that has one, else null."""
+    entries, valued = F.concat(F.lit(";"), F.col("info") if info is None else info), f";{key}="
+    at = F.instr(entries, valued)
+    return F.when(at > 0, F.substring_index(F.substring(entries, at + len(valued), F.lit(1 << 30)), ";", 1))
+
+
+#: Numbers of at most six significant digits and without needless zeros: single precision gives them back as they are.
+SHORT = r"(?:0|[1-9][0-9]{0,5}|0\.[0-9]{0,5}[1-9]|[1-9][0-9]{0,2}\.[0-9]{0,2}[1-9])"
+SHORT_LIST = rf"\A{SHORT}(?:,{SHORT})*\z"
 
 
 def canonical_number(text: Column) -> Column:
     """A single-precision number in its shortest form; other texts stay."""
-    return let(text, lambda t: F.coalesce(plain_text(to_double(t).cast("float")), t))
+    return F.when(text.rlike(rf"\A{SHORT}\z"), text).otherwise(let(text, lambda t: F.coalesce(plain_text(to_double(t).cast("float")), t)))
 
 
 def canonical_list(text: Column) -> Column:
-    return F.array_join(F.transform(F.split(text, ","), canonical_number), ",")
+    return F.when(text.rlike(SHORT_LIST), text).otherwise(F.array_join(F.transform(F.split(text, ","), canonical_number), ","))
 
 
 def allele_values(text: Column, number: str, k: Column) -> Column:
@@ -71,7 +92,13 @@ def rewritten_info(info: Column, header: Header, k: Column | None, canonical: bo
     def entry(e: Column) -> Column:
         return let(F.substring_index(e, "=", 1), lambda key: F.when(key.isin(*wanted) & e.contains("="), rewritten(e, key)).otherwise(e))
 
-    return let(info, lambda i: F.when(i.isin(".", ""), i).otherwise(F.array_join(F.transform(F.split(i, ";"), entry), ";")))
+    made = let(info, lambda i: F.when(i.isin(".", ""), i).otherwise(F.array_join(F.transform(F.split(i, ";"), entry), ";")))
+    if len(floats) > FEW:
+        return made
+    # a record that keeps all its alleles, and whose numbers are short already, stays as it is
+    short = [F.coalesce(info_value(key, info).rlike(SHORT_LIST) & (F.substring_index(F.concat(F.lit(";"), info), f";{key}=", 2) == F.concat(F.lit(";"), info)), ~F.contains(F.concat(F.lit(";"), info), F.lit(f";{key}="))) for key in floats]
+    stays = reduce(lambda a, b: a & b, short, F.lit(True)) & (F.lit(True) if k is None else k.isNull())
+    return F.when(stays, info).otherwise(made)
 
 
 def rewritten_samples(samples: Column, format_: Column, header: Header, k: Column | None, canonical: bool) -> Column:
@@ -91,4 +118,5 @@ def rewritten_samples(samples: Column, format_: Column, header: Header, k: Colum
         value = lambda v, i: let(F.coalesce(F.get(keys, i), F.lit("")), lambda key: F.when(key.isin(*wanted), rewritten(v, key)).otherwise(v))
         return F.array_join(F.transform(F.split(s, ":"), value), ":")
 
-    return let(F.split(format_, ":"), lambda keys: F.transform(samples, lambda s: sample(s, keys)))
+    made = let(F.split(format_, ":"), lambda keys: F.transform(samples, lambda s: sample(s, keys)))
+    return made if floats or k is None else F.when(k.isNull(), samples).otherwise(made)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.functions.fields import settled
+from helixframe.functions.fields import once
 from helixframe.plans.compiler import compile_expr
 from helixframe.plans.expression import parse_expr
 from helixframe.sources.vcf import VariantSet
@@ -17,10 +17,10 @@ def filter_variants(vs: VariantSet, expression: str, invert: bool = False) -> Va
     """
     holds = compile_expr(parse_expr(expression), vs.header)
     keep = (F.col("n_cols") >= 8) & (~holds if invert else holds)
-    # an operator's INFO is a long expression, which each comparison would compute again; raw lines stay as they are
-    df = vs.df if vs.figures is None else settled(vs.df, info=F.col("info")).select(*vs.df.columns)
-    figures = df.agg(F.count(F.lit(1)).alias("input"), F.count_if(keep).alias("output"), F.count_if((F.col("n_cols") >= 8) & ~keep).alias("filtered_out"))
-    return VariantSet(df.filter(keep), vs.header, figures)
+    # the verdict is a column of its own: the optimizer would spread its long expression over the plan as constraints
+    df = vs.df.withColumn("_keep", once(keep))
+    figures = df.agg(F.count(F.lit(1)).alias("input"), F.count_if("_keep").alias("output"), F.count_if((F.col("n_cols") >= 8) & ~F.col("_keep")).alias("filtered_out"))
+    return VariantSet(df.filter("_keep").drop("_keep"), vs.header, figures)
 
 
 def summary(stats: dict[str, int]) -> str:

@@ -31,8 +31,7 @@ def check_contigs(header: Header, chain: ChainIndex, allow: bool) -> None:
     mine, theirs = list(header.contigs), sorted(chain.source_contigs())
     if not mine or not theirs or set(mine) & set(theirs) or mine[0].startswith("chr") == theirs[0].startswith("chr"):
         return
-    styles = {True: 'UCSC-style ("chr1", "chr2", ...)', False: 'b37-style ("1", "2", ...)'}
-    text = f"contig name mismatch: the VCF uses {styles[mine[0].startswith('chr')]}, the chain {styles[theirs[0].startswith('chr')]}; rename the VCF's contigs, or use --allow-contig-mismatch to reject all records"
+    text = f"no contig of the header ({mine[0]}, ...) is a source of the chain ({theirs[0]}, ...): one side names them with chr, the other without; rename them, or pass allow_contig_mismatch=True, which rejects all records"
     if not allow:
         raise VariantError(text)
     log.warning(text)
@@ -83,11 +82,11 @@ def liftover(
     if target_ref is not None:
         checked = (F.col("_status") == "ok") & ~F.exists(alts, kept_allele)
         end = F.col("_t0") + n
-        short = n <= target_ref.overlap
-        rows = target_ref.joined(rows.withColumn("_checked", F.coalesce(checked, F.lit(False))).withColumn("_key", F.monotonically_increasing_id()), F.col("_t0"), "tgt_chrom")
+        short = n <= target_ref.overlap  # longer ones are keyed by the record, which no shuffle changes
+        rows = target_ref.joined(rows.withColumn("_checked", F.coalesce(checked, F.lit(False))), F.col("_t0"), "tgt_chrom")
         seen = F.substring("_seq", (F.col("_t0") - F.col("_first") + 1).cast("int"), n)
         brief = rows.filter(~F.col("_checked") | short).withColumn("_seen", seen)
-        long = target_ref.stretch(rows.filter(F.col("_checked") & ~short), F.col("_t0"), end, ["_key"], "_seen", "tgt_chrom")
+        long = target_ref.stretch(rows.filter(F.col("_checked") & ~short), F.col("_t0"), end, [c for c in ("row_id", "alt_idx") if c in rows.columns], "_seen", "tgt_chrom")
         rows = brief.unionByName(long)
         inside = end <= target_ref.length_of(F.col("tgt_chrom"))
         matches = F.coalesce(inside & (F.upper("_seen") == F.upper("_ref")), F.lit(False))
@@ -99,10 +98,10 @@ def liftover(
     )
     good = rows.filter("_status = 'ok'")
     if write_src_coords:
-        good = good.withColumn("info", with_source(F.col("info"), F.col("chrom"), F.col("_p")))
+        good = settled(good, info=with_source(F.col("info"), F.col("chrom"), F.col("_p")))
     good = good.withColumn("chrom", F.col("tgt_chrom")).withColumn("pos", (F.col("_t0") + 1).cast("string")).withColumn("ref", F.col("_ref")).withColumn("alt", F.col("_alt"))
     if reserialize:
-        good = good.withColumn("info", rewritten_info(F.col("info"), header, None, True)).withColumn("samples", rewritten_samples(F.col("samples"), F.col("format"), header, None, True)).withColumn("qual", canonical_number(F.col("qual")))
+        good = settled(good, info=rewritten_info(F.col("info"), header, None, True), samples=rewritten_samples(F.col("samples"), F.col("format"), header, None, True), qual=canonical_number(F.col("qual")))
     lifted = VariantSet(good.withColumn("line", composed()).select(*vs.df.columns), header, figures)
     return lifted, VariantSet(rows.filter("_status <> 'ok'").select(*vs.df.columns, F.col("_status").alias("reason")), header, figures)
 

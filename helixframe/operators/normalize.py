@@ -29,7 +29,7 @@ def _shift(context: Column, limit: int) -> Column:
 
 
 def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
-    """Rows (columns chrom, pos, ref, alt, _first, _seq, _one, _key) with indels at their leftmost place; adds _moved.
+    """Rows (columns chrom, pos, ref, alt, _first, _seq, _one, row_id, alt_idx) with indels at their leftmost place; adds _moved.
 
     ``_one``: has a single alternative with bases.  The suffix that both alleles share goes, with bases of the reference
     coming in at the front, and then the prefix they share but for one base.  Rows on unknown contigs stay.  One pass
@@ -53,7 +53,7 @@ def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
         rows = rows.withColumn("_k", F.when(F.col("_full"), _shift(F.col("_c"), wide)).otherwise(F.col("_k"))).drop("_full")
     if (longest := max([0, *reference.lengths.values()])) > wide:
         rows = settled(rows, _c=F.col("_c"), _k=F.col("_k"), _far=full)
-        rest = reference.stretch(rows.filter("_far").drop("_c", "_k"), F.lit(0).cast("bigint"), F.col("_left"), ["_key"], "_c")
+        rest = reference.stretch(rows.filter("_far").drop("_c", "_k"), F.lit(0).cast("bigint"), F.col("_left"), ["row_id", "alt_idx"], "_c")
         rest = rest.withColumn("_c", F.upper(F.coalesce("_c", F.lit("")))).withColumn("_k", _shift(F.col("_c"), longest))
         rows = rows.filter("not _far").unionByName(rest).drop("_far")
     cut = lambda allele: F.when(F.col("_indel"), F.substring(F.concat("_c", allele), F.char_length("_c") - F.col("_k") + 1, F.char_length(allele)))
@@ -83,11 +83,10 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
     header = vs.header
     lengths = {k: v for k, v in header.contigs.items() if v is not None}
     limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv]), F.col("chrom")) if lengths else F.lit(None).cast("int")
-    rows = vs.df.withColumn("_short", F.col("n_cols") < 8).withColumn("_sym", F.coalesce(symbolic(F.col("alt")), F.lit(False)))
-    past = F.coalesce(to_long(F.col("pos")) > limit, F.lit(False))
-    rows = rows.withColumn("_oob", past & ~F.col("_sym") if fast else past)
-    rows = rows.filter(~F.col("_short")).drop("_short").withColumn("_key", F.monotonically_increasing_id())
-    place = F.greatest(to_long(F.col("pos")) - 1, F.lit(0))
+    rows = settled(vs.df.filter("n_cols >= 8"), _sym=F.coalesce(symbolic(F.col("alt")), F.lit(False)), _at=to_long(F.col("pos")))
+    past = F.coalesce(F.col("_at") > limit, F.lit(False))
+    rows = settled(rows, _oob=past & ~F.col("_sym") if fast else past)
+    place = F.greatest(F.col("_at") - 1, F.lit(0))
     if reference is not None and (left_align or check_ref != "ignore"):
         rows = reference.joined(rows, place)
     if check_ref == "ignore":
@@ -96,8 +95,8 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
         base = F.substring("_seq", (place - F.col("_first") + 1).cast("int"), 1)
         subject = ~F.col("_sym") & ~F.col("_oob")
         past_end = subject & (place >= reference.length_of(F.col("chrom"))) & ~F.lit(fast)
-        rows = rows.withColumn("_mismatch", F.coalesce(subject & (base != "") & (F.upper(base) != F.upper(F.substring("ref", 1, 1))), F.lit(False)))
-        rows = rows.withColumn("_past_end", F.coalesce(past_end, F.lit(False)))
+        differs = subject & (base != "") & (F.upper(base) != F.upper(F.substring("ref", 1, 1)))
+        rows = settled(rows, _mismatch=F.coalesce(differs, F.lit(False)), _past_end=F.coalesce(past_end, F.lit(False)))
     many = F.col("alt").contains(",") & ~F.col("_sym")
     figures = rows.agg(F.count(F.lit(1)).alias("input"), F.count_if(F.col("_oob")).alias("out_of_bounds"), F.count_if(F.col("_mismatch")).alias("ref_mismatches"), F.count_if(many & ~F.col("_oob") & F.lit(split)).alias("split_sites"))
     if check_ref == "error":
@@ -111,14 +110,16 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
     out = out.withColumn("_nth", k)
     out = out.withColumn("_moved", F.lit(False))
     if left_align:
-        out = out.drop("_moved").withColumn("_key", F.concat_ws(":", "_key", "alt_idx")).withColumn("_one", ~F.col("_sym") & ~F.col("alt").contains(","))
+        out = out.drop("_moved").withColumn("_one", ~F.col("_sym") & ~F.col("alt").contains(","))
         out = left_aligned(out, reference)
     snp = F.char_length("ref") == F.char_length("alt")
     raw = (snp | F.lit(not left_align) | F.col("_sym")) & ~F.col("_cut") & ~F.col("alt").contains(",") | F.col("_sym") if fast else F.lit(False)
     out = out.withColumn("_raw", raw)
-    out = out.withColumn("info", F.when(F.col("_raw"), F.col("info")).otherwise(rewritten_info(F.col("info"), header, F.col("_nth"), True)))
-    out = out.withColumn("samples", F.when(F.col("_raw"), F.col("samples")).otherwise(rewritten_samples(F.col("samples"), F.col("format"), header, F.col("_nth"), True)))
-    out = out.withColumn("qual", F.when(F.col("_raw"), F.col("qual")).otherwise(canonical_number(F.col("qual"))))
+    unless_raw = lambda name, new: F.when(F.col("_raw"), F.col(name)).otherwise(new)
+    nth = F.col("_nth") if split else None
+    out = settled(
+        out, info=unless_raw("info", rewritten_info(F.col("info"), header, nth, True)), samples=unless_raw("samples", rewritten_samples(F.col("samples"), F.col("format"), header, nth, True)), qual=unless_raw("qual", canonical_number(F.col("qual")))
+    )
     out = out.withColumn("line", F.when(F.col("_raw"), F.col("line")).otherwise(composed()))
     made = out.agg(F.count(F.lit(1)).alias("output"), F.count_if("_moved").alias("left_aligned"))
     df = out.select("row_id", "alt_idx", "line", "chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "samples", "n_cols")

@@ -8,18 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helixframe.functions.numbers import let, plain_text, to_double, to_long
+from helixframe.functions.fields import info_value
+from helixframe.functions.numbers import PLAIN_FLOAT, PLAIN_INTEGER, let, plain_text, to_double, to_long
 from helixframe.plans.expression import Both, Compare, Either, Exists, FieldRef, Not, Number, Text
 from helixframe.sources.header import Header
 
 
 def info_text(key: str) -> Column:
     """The first entry of the key in INFO: its value, ``1`` for a bare key, null for ``.`` or none."""
-    entries, valued, bare = F.concat(F.lit(";"), F.col("info"), F.lit(";")), f";{key}=", f";{key};"
-    value = F.when(F.contains(entries, F.lit(valued)), F.split_part(F.split_part(entries, F.lit(valued), F.lit(2)), F.lit(";"), F.lit(1)))
+    entries, bare = F.concat(F.lit(";"), F.col("info"), F.lit(";")), F.lit(f";{key};")
     # what comes before the first entry with a value, or all of it
-    bare_first = F.contains(F.concat(F.substring_index(entries, valued, 1), F.lit(";")), F.lit(bare))
-    return F.nullif(F.when(F.contains(entries, F.lit(bare)) & bare_first, F.lit("1")).otherwise(value), F.lit("."))
+    bare_first = F.contains(F.concat(F.substring_index(entries, f";{key}=", 1), F.lit(";")), bare)
+    return F.nullif(F.when(F.contains(entries, bare) & bare_first, F.lit("1")).otherwise(info_value(key)), F.lit("."))
 
 
 def format_text(key: str) -> Column:
@@ -68,6 +68,10 @@ def kind_of(operand, header: Header) -> Kind:
     return Kind({"POS": "whole", "QUAL": "real", "FORMAT": "guess"}.get(operand.source, "text"))
 
 
+#: Lists of plain numbers, or one.
+PLAIN_INTEGERS, PLAIN_FLOATS = r"\A[0-9]{1,18}(?:,[0-9]{1,18})*\z", r"\A[0-9]+(?:\.[0-9]+)?(?:,[0-9]+(?:\.[0-9]+)?)*\z"
+
+
 def as_number(text: Column, kind: Kind) -> Column:
     """A single value's number, null where it isn't one; texts are read as numbers too."""
     return F.when(text.isNotNull(), F.lit(1.0)) if kind.name == "flag" else to_double(text)
@@ -168,7 +172,19 @@ def compare_with_constant(field: FieldRef, operator: str, constant: Number | Tex
         of = lambda n: F.when(F.exists(n, lambda x: x.isNull()), _ordered(joined, operator, shown)).otherwise(F.exists(n, number))
         return F.when(F.size(parts) == 0, F.lit(False)).otherwise(let(numbers, of))
 
-    return F.when(text.contains(","), let(F.filter(F.split(text, ","), lambda e: e != "."), several)).otherwise(single(text))
+    def closely(t: Column) -> Column:
+        return F.coalesce(F.when(t.contains(","), let(F.filter(F.split(t, ","), lambda e: e != "."), several)).otherwise(single(t)), F.lit(False))
+
+    if field.source != "INFO":
+        return closely(text)
+    # usual values, which have numbers only, need no closer look; a bare key before them is not one
+    plain = info_value(field.key)
+    bare = F.contains(F.concat(F.lit(";"), F.col("info"), F.lit(";")), F.lit(f";{field.key};"))
+    one, list_ = (PLAIN_INTEGER, PLAIN_INTEGERS) if kind.name == "whole" else (PLAIN_FLOAT, PLAIN_FLOATS)
+    holds = lambda e: _ordered(e.try_cast("double"), operator, F.lit(value))
+    usual = F.when(plain.rlike(one), holds(plain)).when(plain.rlike(list_), F.exists(F.split(plain, ","), holds))
+    # nothing to compare in a record without the key; what is left over is looked at closely
+    return F.when(bare, let(text, closely)).when(plain.isNull(), F.lit(False)).otherwise(F.coalesce(usual, let(text, closely)))
 
 
 def _constant_number(text: str) -> float | None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions.fields import once
 from helixframe.sources.chain import ChainIndex, chain_from_text
 from helixframe.sources.fasta import Reference, reference_from_dict
 from helixframe.sources.header import Header, parse_header
@@ -89,16 +90,11 @@ def lines_of(spark: SparkSession, lineitem: DataFrame) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> VariantSet:
-    """The view's lines as a text source gives them.
-
-    A condition on the partition's number holds always, but is not deterministic to the optimizer: it computes a line once,
-    as a scan would, rather than copying its long expression into every filter and constraint (half a minute a query).
-    """
+    """The view's lines as a text source gives them."""
     table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*COLUMNS, F.monotonically_increasing_id().alias("row_id"))
     # a table of one row group is read by one task; its narrow rows are dealt out before they become lines
     dealt = table.repartition(spark.sparkContext.defaultParallelism, "row_id")
-    once = F.when(F.spark_partition_id() >= 0, F.col("line"))
-    return VariantSet(parsed(lines_of(spark, dealt).select("row_id", once.alias("value"))), header())
+    return VariantSet(parsed(lines_of(spark, dealt).select("row_id", once(F.col("line")).alias("value"))), header())
 
 
 def reference(spark: SparkSession) -> Reference:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.errors import FormatError
+from helixframe.functions.fields import once
 from helixframe.sources.header import Header, parse_header
 
 #: The eight fixed columns and FORMAT, as they are called here.
@@ -60,11 +61,11 @@ def parsed(lines: DataFrame) -> DataFrame:
     The samples are cut apart only where a plan reads them; n_cols counts them as one.
     """
     rows = lines.filter(~F.col("value").startswith("#")).withColumn("_p", F.split("value", "\t", len(FIXED) + 1))
-    bare = lambda text: F.rtrim(text, F.lit("\r\n"))
-    plain = [F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(FIXED[:7])]
-    last = [bare(F.coalesce(F.get("_p", F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(FIXED[7:], 7)]
+    bare = lambda text: F.when(text.endswith("\r") | text.endswith("\n"), F.rtrim(text, F.lit("\r\n"))).otherwise(text)
+    plain = [once(F.get("_p", F.lit(i))).alias(n) for i, n in enumerate(FIXED[:7])]
+    last = [once(F.coalesce(bare(F.get("_p", F.lit(i))), F.lit(""))).alias(n) for i, n in enumerate(FIXED[7:], 7)]
     rest = F.get("_p", F.lit(len(FIXED)))
-    samples = F.when(rest.isNull(), F.array().cast("array<string>")).otherwise(F.split(bare(rest), "\t"))
+    samples = once(F.when(rest.isNull(), F.array().cast("array<string>")).otherwise(F.split(bare(rest), "\t")))
     return rows.select("row_id", F.col("value").alias("line"), *plain, *last, samples.alias("samples"), F.size("_p").alias("n_cols"))
 
 
