@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.errors import VariantError
 from helixframe.functions.bases import reverse_complement
-from helixframe.functions.fields import canonical_number, rewritten_info, rewritten_samples, settled
+from helixframe.functions.fields import canonical_number, rewritten_info, rewritten_samples, settled, with_keys
 from helixframe.functions.numbers import to_long
 from helixframe.sources.chain import BIN, ChainIndex
 from helixframe.sources.fasta import Reference
@@ -67,12 +67,12 @@ def liftover(
     if write_src_coords:
         header = header.with_info("SRC_CONTIG", "1", "String", "Source contig before liftover").with_info("SRC_POS", "1", "Integer", "Source position (1-based) before liftover")
     place = to_long(F.col("pos"))
-    rows = vs.df.filter("n_cols >= 8").withColumn("_p", F.when(place >= 1, place)).withColumn("_p0", F.col("_p") - 1)
+    rows = with_keys(vs.df.filter("n_cols >= 8"), _p=F.when(place >= 1, place)).withColumn("_p0", F.col("_p") - 1)
     rows = located(rows, chain)
     offset, n = F.col("_p0") - F.col("src_start"), F.char_length("ref")
     reverse = F.col("tgt_strand") == "-"
     start = F.when(reverse, F.col("tgt_end") - offset - n).otherwise(F.col("tgt_start") + offset)
-    rows = rows.withColumn("_t0", start).withColumn("_rev", F.coalesce(reverse, F.lit(False)))
+    rows = with_keys(rows, _t0=start).withColumn("_rev", F.coalesce(reverse, F.lit(False)))
     unmapped = F.col("src_chrom").isNull() | (F.col("_rev") & ((F.col("_t0") < 0) | F.lit(not fix_swapped_ref)))
     rows = rows.withColumn("_status", F.when(unmapped, F.lit("unmapped")).otherwise(F.lit("ok")))
     alts = F.split("alt", ",")
