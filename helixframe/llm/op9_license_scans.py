@@ -2,7 +2,7 @@
 
 A notice of m characters with at most k edits, split into k+1 pieces, keeps at least one piece whole; plain searches for
 the pieces locate the candidates, and the regular expression library's bounded-error matching verifies each, counts its
-edits and gives its span.  Both work on a normal form of the text: lower-cased words joined by one space.
+edits and gives its span.  The word that names the license may have none: three edits make any short name of another.  Both work on a normal form of the text: lower-cased words joined by one space.
 """
 
 from __future__ import annotations
@@ -27,23 +27,35 @@ class Notice:
     text: str
     label: str
     edits: int
+    name: str = ""
+    """The word that names the license and must stand as it is; empty where the wording itself tells it."""
 
 
-#: Short notices in normal form, and the edits allowed.
+#: Short notices in normal form, the edits allowed, the word that must be exact.
 NOTICES = (
-    Notice("licensed under the gnu general public license", "gpl", 4),
-    Notice("gnu general public license", "gpl", 3),
-    Notice("gnu lesser general public license", "lgpl", 3),
-    Notice("licensed under the apache license version 2 0", "apache", 4),
-    Notice("apache license version 2 0", "apache", 3),
-    Notice("released under the mit license", "mit", 3),
+    Notice("licensed under the gnu general public license", "gpl", 4, "gnu"),
+    Notice("gnu general public license", "gpl", 3, "gnu"),
+    Notice("released under the gpl license", "gpl", 3, "gpl"),
+    Notice("gnu lesser general public license", "lgpl", 3, "lesser"),
+    Notice("gnu affero general public license", "agpl", 3, "affero"),
+    Notice("licensed under the apache license version 2 0", "apache", 4, "apache"),
+    Notice("apache license version 2 0", "apache", 3, "apache"),
+    Notice("released under the mit license", "mit", 3, "mit"),
+    Notice("licensed under the mit license", "mit", 3, "mit"),
     Notice("permission is hereby granted free of charge", "mit", 4),
-    Notice("licensed under cc by nc 4 0", "cc-by-nc", 1),
-    Notice("licensed under cc by sa 4 0", "cc-by-sa", 1),
-    Notice("licensed under cc by 4 0", "cc-by", 1),
-    Notice("creative commons attribution", "cc-by", 3),
-    Notice("mozilla public license", "mpl", 2),
+    Notice("released under the bsd license", "bsd", 3, "bsd"),
+    Notice("licensed under the bsd license", "bsd", 3, "bsd"),
     Notice("redistribution and use in source and binary forms", "bsd", 5),
+    Notice("released under the isc license", "isc", 3, "isc"),
+    Notice("permission to use copy modify and or distribute this software for any purpose", "isc", 6),
+    Notice("licensed under cc by nc 4 0", "cc-by-nc", 1, "nc"),
+    Notice("licensed under cc by sa 4 0", "cc-by-sa", 1, "sa"),
+    Notice("licensed under cc by 4 0", "cc-by", 1, "by"),
+    Notice("creative commons attribution", "cc-by", 3, "attribution"),
+    Notice("mozilla public license", "mpl", 2, "mozilla"),
+    Notice("eclipse public license", "epl", 2, "eclipse"),
+    Notice("boost software license", "bsl", 2, "boost"),
+    Notice("free and unencumbered software released into the public domain", "unlicense", 6),
 )
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80, 0x100)]] = True
@@ -83,6 +95,14 @@ def find_all(hay: bytes, needle: bytes) -> list[int]:
     return found
 
 
+def named(notice: Notice, hay: bytes, start: int, end: int, low: int, high: int) -> bool:
+    """Whether the words that a stretch touches, in its document from ``low`` to ``high``, include the notice's name."""
+    if not notice.name:
+        return True
+    stop = hay.find(b" ", end, high)
+    return notice.name.encode() in hay[max(low, hay.rfind(b" ", low, start) + 1) : high if stop < 0 else stop].split(b" ")
+
+
 def fuzzy(hay: bytes, at: np.ndarray, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int, int, int, str, float]]:
     """(document, start, end, label, likeness) of the notices in a normal form with its documents at ``at``."""
     found = set()
@@ -99,7 +119,8 @@ def fuzzy(hay: bytes, at: np.ndarray, notices: tuple[Notice, ...] = NOTICES) ->
             a, b = max(int(at[doc]), start - k), min(int(at[doc + 1]), start + m + k)
             if last and last[0] == doc and a >= last[1] and b <= last[2]:
                 continue
-            if x := matcher(notice).search(hay, a, b):
+            x = matcher(notice).search(hay, a, b)
+            if x and named(notice, hay, x.start(), x.end(), int(at[doc]), int(at[doc + 1])):
                 found.add((doc, x.start() - int(at[doc]), x.end() - int(at[doc]), notice.label, 1 - sum(x.fuzzy_counts) / m))
                 last = (doc, x.start(), x.end())
     return sorted(found)

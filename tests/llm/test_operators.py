@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import components, op1_suffix_dedup, op2_fingerprints, op3_packing, op4_secret_scans, op5_substring_dedup, op6_quality_rules, op7_jaccard_join, op8_mixing, op9_license_scans, op10_quality_classifier
+from helixframe.llm import arrays, components, op1_suffix_dedup, op2_fingerprints, op3_packing, op4_secret_scans, op5_substring_dedup, op6_quality_rules, op7_jaccard_join, op8_mixing, op9_license_scans, op10_quality_classifier
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _h string"
 
@@ -355,7 +355,8 @@ def test_op9(spark, none, rows):
 
 
 def test_op9_finds_every_edit():
-    notice, r = op9_license_scans.NOTICES[0], random.Random(2)
+    """Any edits up to the bound are found, where the notice has no name that must be exact."""
+    notice, r = next(n for n in op9_license_scans.NOTICES if not n.name), random.Random(2)
     for _ in range(200):
         t = list(notice.text)
         for _ in range(r.randint(0, notice.edits)):
@@ -365,6 +366,16 @@ def test_op9_finds_every_edit():
         assert any(x[3] == notice.label for x in op9_license_scans.fuzzy(hay, np.array([0, len(hay)]), (notice,)))
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("released under the mit license", {"mit"}), ("relesed under teh mit license", {"mit"}), ("released under the bsd license", {"bsd"}), ("released under the isc license", {"isc"}), ("released under the gpl license", {"gpl"}),
+    ("released under the xyz license", set()), ("released under the mitt license", set()), ("gnu lesser general public license", {"lgpl"}), ("gnu affero generl public license", {"agpl"}), ("eclipse public licence", {"epl"}), ("mozilla public license", {"mpl"}),
+])
+def test_op9_names_are_exact(text, want):
+    """No edits make one license's name of another's."""
+    hay = f"aa {text} bb".encode()
+    assert {x[3] for x in op9_license_scans.fuzzy(hay, np.array([0, len(hay)]))} == want
+
+
 def test_op10_marginals():
     """Forward-backward against the sum over all labellings."""
     r = np.random.default_rng(1)
@@ -413,6 +424,27 @@ def test_op10_held_out(spark):
     assert got.filter("predicted = quality").count() >= 0.9 * got.count()
 
 
+def test_very_long_texts(spark):
+    """One text far beyond a step's bytes, alone and twice, goes through every operator whole."""
+    r = random.Random(5)
+    long = " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(420_000))
+    assert len(long) > 2 * arrays.STEP_BYTES
+    many = table(spark, [(1, long), (2, "a short text of a few words"), (3, long)])
+    n = len(long.split())
+    got = {x.doc_id: x for x in op1_suffix_dedup.remove_repeated_bytes(many).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (len(long), 0, len(long)) and got[1].n_spans == 1
+    got = {x.doc_id: x for x in op5_substring_dedup.remove_repeated(many).collect()}
+    assert (got[1].n_removed, got[3].n_removed, got[3].n_words) == (0, n, n)
+    got = {x.doc_id: x for x in op7_jaccard_join.jaccard_components(many).collect()}
+    assert got[3].component_id == 1 and got[2].component_id == 2 and got[1].n_shingles > 400_000
+    assert {x.doc_id: x.n_words for x in op9_license_scans.scan_licenses(many).collect()}[1] == n
+    chain = op10_quality_classifier.Chain(np.zeros(3 * len(op10_quality_classifier.OWN) + 1), np.zeros((2, 2)))
+    assert op10_quality_classifier.scored(many, chain).filter("score = 0.5").count() == 3
+    assert op2_fingerprints.fingerprint_documents(many).filter(f"n_chars = {len(long)}").count() == 2
+    assert op4_secret_scans.scan_secrets(many).filter("size(spans) = 0").count() == 3
+    assert op8_mixing.mix_to_targets(many, F.array(F.lit("x")), op8_mixing.word_count(F.col("text")), op8_mixing.default_targets)[0].filter(f"_size = {n}").count() == 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
