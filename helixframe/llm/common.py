@@ -22,10 +22,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name below the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) does it fall back to /tmp/checkpoints.
+    Where the session names none, a local session gets one below /tmp; on a cluster, where the machines don't share that, it
+    is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = "file:///tmp/checkpoints"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
