@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from helixframe.errors import ExpressionError, VariantError
@@ -73,12 +73,34 @@ def translate(question: str, header: Header, translator: Callable[[str], str] |
         return read_answer(translator(f"{asked}\nYour last answer failed: {e}\nCorrect it."))
 
 
-def accepted(found: Translation, unattended: bool = False, accept_low_confidence: bool = False, confirm: Callable[[Translation], bool] | None = None) -> str:
-    """The expression, if it may be used: confirmed, or unattended and sure enough."""
+def accepted(found: Translation, unattended: bool = False, accept_low_confidence: bool = False, confirm: Callable[[Translation], bool | str] | None = None) -> str:
+    """The expression, if it may be used: confirmed, or unattended and sure enough.  ``confirm`` may give another text, which must parse."""
     if unattended:
         if found.confidence < LEAST_CONFIDENCE and not accept_low_confidence:
             raise VariantError(f"confidence {found.confidence:.2f} is below {LEAST_CONFIDENCE}; accept it with accept_low_confidence")
         return found.expression
-    if confirm is None or not confirm(found):
+    answer = confirm(found) if confirm else False
+    if isinstance(answer, str):
+        parse_expr(answer)
+        return answer
+    if not answer:
         raise VariantError("the expression was not confirmed")
     return found.expression
+
+
+#: Fixed value: share of the questions that an evaluation must answer as expected.
+PASS_SHARE = 0.85
+
+
+def evaluate(cases: Iterable[tuple[str, str]], header: Header, translator: Callable[[str], str] | None = None) -> tuple[float, list[tuple[str, str, str]]]:
+    """(share of the (question, expected expression) cases answered alike but for spaces, the others with what came instead)."""
+    wrong, n = [], 0
+    for question, want in cases:
+        n += 1
+        try:
+            got = translate(question, header, translator).expression
+        except VariantError as e:
+            got = str(e)
+        if "".join(got.split()) != "".join(want.split()):
+            wrong.append((question, want, got))
+    return (1 - len(wrong) / n if n else 1.0), wrong

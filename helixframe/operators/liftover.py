@@ -7,12 +7,12 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.errors import VariantError
+from helixframe.errors import FormatError, VariantError
 from helixframe.functions.bases import reverse_complement
 from helixframe.functions.fields import canonical_number, rewritten_info, rewritten_samples, settled, with_keys
 from helixframe.functions.numbers import to_long
 from helixframe.sources.chain import BIN, ChainIndex
-from helixframe.sources.fasta import Reference
+from helixframe.sources.fasta import Reference, read_fasta
 from helixframe.sources.header import Header
 from helixframe.sources.vcf import VariantSet, composed
 
@@ -54,15 +54,22 @@ def with_source(info: Column, chrom: Column, pos: Column) -> Column:
 
 
 def liftover(
-    vs: VariantSet, chain: ChainIndex, target_ref: Reference | None = None, fix_swapped_ref: bool = True, write_src_coords: bool = False, allow_contig_mismatch: bool = False, source_ref: Reference | None = None, reserialize: bool = True
+    vs: VariantSet, chain: ChainIndex, target_ref: Reference | str | None = None, fix_swapped_ref: bool = True, write_src_coords: bool = False, allow_contig_mismatch: bool = False, source_ref: Reference | None = None, reserialize: bool = True
 ) -> tuple[VariantSet, VariantSet]:
     """(lifted, rejects).  Rejects are the original records; both keep the order of the input.
 
     Only the position decides the block.  On the reverse strand alleles are complemented, or the record is rejected if
     ``fix_swapped_ref`` is off.  With a target reference the whole lifted REF must match it, unless an alternative is
-    symbolic.  The source reference is accepted and not read.  Lines of fewer than eight columns are left out.
+    symbolic; one given as a path that can't be opened is warned of, and nothing is checked.  The source reference is
+    accepted and not read.  Lines of fewer than eight columns are left out.
     """
     check_contigs(vs.header, chain, allow_contig_mismatch)
+    if isinstance(target_ref, str):
+        try:
+            target_ref = read_fasta(vs.df.sparkSession, target_ref)
+        except FormatError as e:
+            log.warning("the lifted alleles are not checked: %s", e)
+            target_ref = None
     header = vs.header
     if write_src_coords:
         header = header.with_info("SRC_CONTIG", "1", "String", "Source contig before liftover").with_info("SRC_POS", "1", "Integer", "Source position (1-based) before liftover")

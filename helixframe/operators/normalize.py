@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from helixframe.functions.numbers import to_long
 from helixframe.sources.fasta import Reference
 from helixframe.sources.vcf import VariantSet, composed
 
+log = logging.getLogger(__name__)
 #: Bases before a record that are looked at, at first; rows whose repeat reaches further see more.
 NEAR = 128
 
@@ -81,6 +84,8 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
     if reference is None and (left_align or check_ref != "ignore"):
         raise VariantError("a reference is needed to check or to left-align")
     header = vs.header
+    if reference is not None and left_align and (absent := [c for c in header.contigs if c not in reference.lengths]):
+        log.warning("contigs that the reference lacks are neither checked nor aligned: %s", ", ".join(absent))
     lengths = {k: v for k, v in header.contigs.items() if v is not None}
     limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv]), F.col("chrom")) if lengths else F.lit(None).cast("int")
     rows = settled(vs.df.filter("n_cols >= 8"), _sym=F.coalesce(symbolic(F.col("alt")), F.lit(False)), _at=to_long(F.col("pos")))
@@ -127,5 +132,8 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
 
 
 def summary(stats: dict[str, int]) -> str:
+    """One line of the counts; mismatches with the reference are warned of as well."""
+    if stats["ref_mismatches"]:
+        log.warning("%d records do not have the base of the reference", stats["ref_mismatches"])
     text = f"normalize: {stats['input']} in, {stats['output']} out ({stats['left_aligned']} left-aligned, {stats['split_sites']} split, {stats['ref_mismatches']} REF mismatches"
     return text + (f", {stats['out_of_bounds']} out-of-bounds skipped)" if stats["out_of_bounds"] else ")")

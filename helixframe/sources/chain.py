@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.errors import FormatError
+from helixframe.sources.compressed import text_lines
 
 #: Public chain files by build.
 KNOWN_CHAINS = (
-    ("hg19ToHg38", "https://hgdownload.soe.ucsc.edu/goldenPath/hg19/liftOver/hg19ToHg38.over.chain.gz"),
-    ("hg38ToHg19", "https://hgdownload.soe.ucsc.edu/goldenPath/hg38/liftOver/hg38ToHg19.over.chain.gz"),
-    ("hg18ToHg38", "https://hgdownload.soe.ucsc.edu/goldenPath/hg18/liftOver/hg18ToHg38.over.chain.gz"),
-    ("hg38ToT2T", "https://hgdownload.soe.ucsc.edu/goldenPath/hg38/liftOver/hg38ToHs1.over.chain.gz"),
+    ("hg19 -> hg38", "https://hgdownload.soe.ucsc.edu/goldenPath/hg19/liftOver/hg19ToHg38.over.chain.gz"),
+    ("hg38 -> hg19", "https://hgdownload.soe.ucsc.edu/goldenPath/hg38/liftOver/hg38ToHg19.over.chain.gz"),
+    ("hg38 -> T2T-CHM13", "https://hgdownload.soe.ucsc.edu/goldenPath/hg38/liftOver/hg38ToHs1.over.chain.gz"),
+    ("T2T-CHM13 -> hg38", "https://hgdownload.soe.ucsc.edu/goldenPath/hs1/liftOver/hs1ToHg38.over.chain.gz"),
 )
 #: Width of the bins in which blocks and positions meet.
 BIN = 1 << 16
@@ -106,7 +107,7 @@ def chain_index(spark: SparkSession, blocks: list[Block]) -> ChainIndex:
 
 def read_chain(spark: SparkSession, path: str) -> ChainIndex:
     """A chain file, plain or gzip; its grammar depends on the order of lines, so the driver reads it line by line."""
-    lines = (r.value for r in spark.read.option("lineSep", "\n").text(path).coalesce(1).toLocalIterator())
+    lines = (r.value for r in text_lines(spark, path).coalesce(1).toLocalIterator())
     return chain_index(spark, parse_chain(lines))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import re
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from helixframe.errors import FormatError
 from helixframe.functions.fields import once
+from helixframe.sources.compressed import is_compressed_path, text_lines
 from helixframe.sources.header import Header, parse_header
 
 #: The eight fixed columns and FORMAT, as they are called here.
@@ -41,8 +42,9 @@ class VariantSet:
         return {} if self.figures is None else {k: int(v or 0) for k, v in self.figures.first().asDict().items()}
 
 
-def is_compressed_path(path: str) -> bool:
-    return os.path.splitext(path)[1] in (".gz", ".bgz")
+def format_from_path(path: str) -> str:
+    """The format in which a path is written: always VCF text."""
+    return "vcf"
 
 
 def detect_format_from_magic(head: bytes) -> bool:
@@ -77,10 +79,11 @@ def composed() -> Column:
 
 def read_header(spark: SparkSession, path: str) -> Header:
     """The header of a file, from its first lines only."""
-    text, n = spark.read.option("lineSep", "\n").text(path), 64
-    if len(files := sorted(text.inputFiles())) > 1:
+    text, n = text_lines(spark, path), 64
+    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
+    if len(files) > 1:
         # Spark reads large files first; the header is in the first by name
-        text = text.filter(F.regexp_replace("_metadata.file_path", r"^(\w+):/+", "$1:/") == re.sub(r"^(\w+):/+", r"\1:/", files[0]))
+        text = text.filter(F.regexp_replace("file", r"^(\w+):/+", "$1:/") == re.sub(r"^(\w+):/+", r"\1:/", files[0]))
     while True:
         head = [r.value for r in text.take(n)]
         if head and detect_format_from_magic(head[0].encode("utf-8", "surrogateescape")):
@@ -91,18 +94,27 @@ def read_header(spark: SparkSession, path: str) -> Header:
 
 
 def read_vcf(spark: SparkSession, path: str) -> VariantSet:
-    """A VCF text file (plain or gzip) or several with one header.  Lines end at \\n only."""
-    text = spark.read.option("lineSep", "\n").text(path)
-    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    return VariantSet(parsed(text.select(order.alias("row_id"), "value")), read_header(spark, path))
+    """A VCF text file (plain, ``.gz`` or ``.bgz``) or several with one header.  Lines end at \\n only."""
+    if path.endswith(".bcf"):
+        raise FormatError(f"{path} is BCF; convert it to VCF text first")
+    order = F.struct("file", "block", F.monotonically_increasing_id().alias("n"))
+    return VariantSet(parsed(text_lines(spark, path).select(order.alias("row_id"), "value")), read_header(spark, path))
 
 
-def read_stdin(spark: SparkSession, stream=None) -> VariantSet:
-    """A VCF from a stream of bytes, which is first put into the session's shared folder as text."""
-    data = (stream or sys.stdin.buffer).read()
-    with tempfile.NamedTemporaryFile("wb", suffix=".vcf", delete=False) as f:
-        f.write(data)
-    return read_vcf(spark, f"file://{f.name}")
+def read_stdin(spark: SparkSession, stream=None, folder: str | None = None) -> VariantSet:
+    """A VCF from a stream of bytes, which is first written as text to ``folder``.
+
+    The folder must be one that all executors see; by default it is a new one below the session's ``spark.checkpoint.dir``,
+    and in a local session without that below the system's temporary folder.  Its files stay until the session's end.
+    """
+    lines = (stream or sys.stdin.buffer).read().decode("utf-8", "replace").removesuffix("\n").split("\n")
+    if folder is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise FormatError("reading a stream on a cluster needs a shared folder: pass it, or set spark.checkpoint.dir")
+        folder = f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/stdin-{uuid.uuid4().hex}"
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder)
+    return read_vcf(spark, folder)
 
 
 def from_lines(spark: SparkSession, lines: Iterable[str]) -> VariantSet:
@@ -126,9 +138,14 @@ def to_text(vs: VariantSet) -> str:
     return "\n".join([*vs.header.render(), *[r.line for r in ordered(vs).toLocalIterator()]]) + "\n"
 
 
-def write_vcf(vs: VariantSet, path: str, single: bool = True, compression: str = "none") -> None:
-    """A folder of text: the header, then the records in order.  ``single`` makes one part file, else the header is the first of several."""
+def write_vcf(vs: VariantSet, path: str, single: bool = True, compression: str | None = None) -> None:
+    """A folder of text: the header, then the records in order.  ``single`` makes one part file, else the header is the first of several.
+
+    One part file is one task's work; large results want ``single=False``.  Without a ``compression`` the path's suffix
+    decides between gzip and none.
+    """
     reject_bcf_output(path)
+    compression = compression or ("gzip" if is_compressed_path(path) else "none")
     spark = vs.df.sparkSession
     head = spark.createDataFrame([(i, line) for i, line in enumerate(vs.header.render())], "at long, value string")
     by = [c for c in ("row_id", "alt_idx") if c in vs.df.columns]
