@@ -91,7 +91,7 @@ def liftover(
         end = F.col("_t0") + n
         short = n <= target_ref.overlap  # longer ones are keyed by the record, which no shuffle changes
         rows = target_ref.joined(rows.withColumn("_checked", F.coalesce(checked, F.lit(False))), F.col("_t0"), "tgt_chrom")
-        seen = F.substring("_seq", (F.col("_t0") - F.col("_first") + 1).cast("int"), n)
+        seen = F.substring("_seq", (F.col("_t0") - F.col("_first") + 1).cast("int"), n).cast("string")
         brief = rows.filter(~F.col("_checked") | short).withColumn("_seen", seen)
         long = target_ref.stretch(rows.filter(F.col("_checked") & ~short), F.col("_t0"), end, [c for c in ("row_id", "alt_idx") if c in rows.columns], "_seen", "tgt_chrom")
         rows = brief.unionByName(long)

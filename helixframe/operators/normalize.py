@@ -46,7 +46,7 @@ def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
     def before(n: int) -> Column:
         """Up to n bases before the record, in upper case, from its chunk."""
         many = F.least(F.lit(n), F.col("_left"), F.greatest(F.col("_p") - 1 - F.col("_first"), F.lit(0)))
-        return F.upper(F.coalesce(F.substring("_seq", (F.col("_p") - F.col("_first") - many).cast("int"), many.cast("int")), F.lit("")))
+        return F.upper(F.coalesce(F.substring("_seq", (F.col("_p") - F.col("_first") - many).cast("int"), many.cast("int")).cast("string"), F.lit("")))
 
     near, wide = min(NEAR, reference.overlap), reference.overlap
     rows = rows.withColumn("_c", F.when(F.col("_indel"), before(near))).withColumn("_k", F.when(F.col("_indel"), _shift(F.col("_c"), near)))
@@ -97,7 +97,7 @@ def normalize(vs: VariantSet, reference: Reference | None = None, split: bool =
     if check_ref == "ignore":
         rows = rows.withColumn("_mismatch", F.lit(False)).withColumn("_past_end", F.lit(False))
     else:
-        base = F.substring("_seq", (place - F.col("_first") + 1).cast("int"), 1)
+        base = F.substring("_seq", (place - F.col("_first") + 1).cast("int"), 1).cast("string")
         subject = ~F.col("_sym") & ~F.col("_oob")
         past_end = subject & (place >= reference.length_of(F.col("chrom"))) & ~F.lit(fast)
         differs = subject & (base != "") & (F.upper(base) != F.upper(F.substring("ref", 1, 1)))

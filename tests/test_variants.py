@@ -221,3 +221,34 @@ def test_deep_parentheses():
     parse_expr(text)
     with pytest.raises(ExpressionError):
         parse_expr(text + " &&")
+
+
+def test_fasta_of_many_splits(spark, tmp_path):
+    """Lines keep their numbers when a file is read in many splits."""
+    import random
+
+    r = random.Random(3)
+    sequences = {f"c{i}": "".join(r.choices("ACGT", k=r.choice([1, 59, 60, 61, 5000]))) for i in range(40)}
+    text, index = "", ""
+    for name, s in sequences.items():
+        text += f">{name} more\n"
+        index += f"{name}\t{len(s)}\t{len(text)}\t60\t61\n"
+        text += "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60))
+    (tmp_path / "m.fa").write_text(text)
+    (tmp_path / "m.fa.fai").write_text(index)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {x.contig: x.seq for x in contig_sequences(read_fasta(spark, f"file://{tmp_path}/m.fa", 256, 64)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sequences
+
+
+def test_repeat_beyond_the_overlap(spark):
+    """A repeat that reaches further than a chunk's overlap is followed to its start, in records of any order."""
+    sequence = "G" + "AC" * 4000 + "T"
+    reference = reference_from_dict(spark, {"chr2": sequence}, 1024, 64)
+    cases = [(p, sequence[p - 1 : p + 2], sequence[p - 1]) for p in (7990, 5001, 3, 8000, 12)]
+    out = normalize(from_lines(spark, [*HEAD, *[row("chr2", *c) for c in cases]]), reference, check_ref="ignore")
+    assert [(int(r.pos), r.ref, r.alt) for r in out.df.orderBy("row_id").collect()] == [by_loop(sequence, *c) for c in cases]
