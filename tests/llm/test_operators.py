@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -456,3 +457,94 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), d).count() == 0
         docs = out
     assert corpus_pipeline.run(spark, d).count() > 0
+
+
+def kept_by_pairs(rows):
+    """Ids that stay of (id, text): the smallest of each component of 5-word shingle sets with a similarity of 0.8, by all pairs."""
+    low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1 if w else 0, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return {i for i, v in root.items() if i == v}
+
+
+def redacted_by_hand(text):
+    spans = []
+    for rule in op4_secret_scans.RULES:
+        for m in re.finditer(rule.pattern, text or "", re.ASCII):
+            if len(m[rule.group]) >= rule.at_least:
+                spans.append((m.start(), m.end()))
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += (text or "")[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + (text or "")[at:]
+
+
+def mixed_by_hand(docs):
+    """How often each (id, source, text) is taken."""
+    size = {d.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) for d in docs}
+    names = sorted({d.source for d in docs}, key=lambda x: (x is None, x or ""))
+    total = {n: sum(size[d.doc_id] for d in docs if d.source == n) for n in names}
+    targets = dict(zip(names, op8_mixing.default_targets([total[n] for n in names]), strict=True))
+    copies = {}
+    for n in names:
+        takes, before = [min(int(targets[n]), total[n]), int(targets[n]) - min(int(targets[n]), total[n])], 0
+        for d in sorted((d for d in docs if d.source == n), key=lambda d: hashlib.md5(str(d.doc_id).encode()).hexdigest()):
+            copies[d.doc_id] = sum(2 * before + size[d.doc_id] <= 2 * t for t in takes)
+            before += size[d.doc_id]
+    return copies
+
+
+def test_pipeline_by_hand(spark):
+    """Every stage's rows, one after the other, against plain versions of them."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    whole = lambda df: Counter(tuple(r) for r in df.collect())
+
+    out = stage["quality classifier"](spark, docs, d).cache()
+    chain = op10_quality_classifier.train(docs, spark.read.parquet(f"{d}/labels.parquet").filter(~op10_quality_classifier.held_out()))
+    rows = docs.collect()
+    scores = [float(op10_quality_classifier.document_scores(chain, pa.array([r.text or ""]))[0]) for r in rows]
+    assert min(abs(s - 0.3) for s in scores) > 1e-6
+    assert whole(out) == Counter(tuple(r) for r, s in zip(rows, scores, strict=True) if s >= 0.3) and 0 < out.count() < len(rows)
+
+    before, out = out, stage["n-gram Jaccard join"](spark, out, d).cache()
+    rows = before.collect()
+    kept = kept_by_pairs([(r.doc_id, r.text) for r in rows])
+    assert whole(out) == Counter(tuple(r) for r in rows if r.doc_id in kept) and len(kept) < len(rows)
+
+    before, out = out, stage["secret scans"](spark, out, d).cache()
+    want = {r.doc_id: r.asDict() | {"text": (t := redacted_by_hand(r.text)), "n_chars": len(t)} for r in before.collect()}
+    assert {r.doc_id: r.asDict() for r in out.collect()} == want and out.count() == len(want)
+
+    before, out = out, stage["mixing sources"](spark, out, d).cache()
+    rows = before.collect()
+    copies = mixed_by_hand(rows)
+    assert whole(out) == Counter({tuple(r): copies[r.doc_id] for r in rows if copies[r.doc_id]})
+
+    encoder = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = Counter()
+    for r in out.collect():
+        want[r.doc_id] += len(encoder.encode(r.text or "", add_special_tokens=False).ids) + 1
+    pieces = stage["packing"](spark, out, d)
+    got = {r.doc_id: r.n for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == dict(want)
+    by_sequence = {}
+    for r in pieces.select("sequence_id", "offset", "length").collect():
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in by_sequence.values():
+        x.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and x[0][0] == 0 and x[-1][0] + x[-1][1] <= 1024
