@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .arrays import _BYTE_CODES, ODD_A, ODD_B, Rolling, U, flat, mix, steps
 from .common import documents, mapped
-from .op5_substring_dedup import LAST, first_in_order, ids, text_hash
+from .op5_substring_dedup import LAST, first_in_order, flagged, ids, text_hash
 
 LENGTH, KEY = 400, 64
 
@@ -152,8 +152,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, key: int = KEY, most_
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_hash(text).alias("_h"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    flagged = sketch.build(rows.select("text"), lambda big: np.concatenate([Segments(b.column("text"), length, key).code for b in steps(big)] or [np.zeros(0, U)]), total // (length - key) * 2, most_bits=most_bits)
-    shards = int(min(1 << 16, max(64, total >> 23)))
+
+    def anchored(big: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in steps(big):
+            found = Segments(batch.column("text"), length, key)
+            yield found.code, ids(batch)[found.doc], batch.column("_h").to_numpy()[found.doc]
+
+    rows, holds = flagged(rows, anchored, total // (length - key) * 2, most_bits)
+    shards = int(min(1 << 18, max(64, total >> 23)))
     of_segment = [("pre", "<i2"), ("number", "<i2"), ("data", "u1")]
     of_place = [("segment", "<i4"), ("doc", "<i8"), ("h", "<i4"), ("start", "<i4")]
     names = ["shard", *[k for k, _ in of_segment + of_place]]
@@ -162,7 +168,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, key: int = KEY, most_
         for big in batches:
             for batch in steps(big):
                 s = Segments(batch.column("text"), length, key)
-                some = np.flatnonzero(flagged.holds(s.code))
+                some = np.flatnonzero(holds(s.code, batch))
                 if not len(some):
                     continue
                 start, number, doc, code = s.start[some], s.number[some], s.doc[some], s.code[some]

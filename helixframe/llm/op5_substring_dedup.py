@@ -10,7 +10,7 @@ of each window it sends only the row with its smallest id, so a window that stan
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,28 @@ def first_in_order(order_keys: list[np.ndarray]) -> np.ndarray:
     return new
 
 
+def flagged(rows: DataFrame, hashes: Callable, expected: int, most_bits: int) -> tuple[DataFrame, Callable[[np.ndarray, pa.RecordBatch], np.ndarray]]:
+    """(rows, holds): ``holds(codes, batch)`` says which hashes of a batch of the returned rows are estimated repeated.
+
+    The sketch reaches all tasks as one filter while that has room for the hashes; beyond that it stays distributed, and
+    each document comes with its own repeated hashes.  Both lose none.
+    """
+    if sketch.fits(expected, most_bits):
+        bits = sketch.build(rows, lambda big: np.concatenate([x[0] for x in hashes(big)] or [np.zeros(0, np.uint64)]), expected, most_bits=most_bits)
+        return rows, lambda codes, batch: bits.holds(codes)
+    own = sketch.spread(rows, hashes, expected).groupBy("doc", "_h").agg(F.collect_list("codes").alias("_codes"))
+    own = own.select(F.col("doc").alias("_id"), F.col("_h").alias("_g"), "_codes")
+    number = F.coalesce("doc_id", F.lit(LAST).cast("long"))
+    rows = rows.join(own, (number == F.col("_id")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "_h", "_codes")
+
+    def holds(codes: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        # a hash is repeated in all documents that have it or in none, but for a few that the sketch overestimates
+        repeated = [np.frombuffer(c, "<u8") for some in batch.column("_codes").to_pylist() for c in some or ()]
+        return np.isin(codes, np.concatenate(repeated)) if repeated else np.zeros(len(codes), bool)
+
+    return rows, holds
+
+
 def repeated_windows(docs: DataFrame, n: int = WINDOW, most_bits: int = sketch.MOST_BITS) -> DataFrame:
     """(doc_id, _h, starts): for documents with repeated windows their numbers as little-endian 32-bit numbers.
 
@@ -68,20 +90,21 @@ def repeated_windows(docs: DataFrame, n: int = WINDOW, most_bits: int = sketch.M
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_hash(F.coalesce("text", F.lit(""))).alias("_h"))
     words = shingle_count(docs)
 
-    def once_each(big: pa.RecordBatch) -> np.ndarray:
-        out = []
+    def once_each(big: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The anchors of each document, once each, with its numbers."""
         for batch in steps(big):
             w = split_words(batch.column("text"))
             start, anchor = anchors(w.hashes(), w.at, n)
-            doc = np.searchsorted(w.at, start, "right")
+            doc = np.searchsorted(w.at, start, "right") - 1
             keep = first_in_order([anchor, doc])
             anchor, doc = anchor[keep], doc[keep]
             sort = np.lexsort((anchor, doc))
-            out.append(anchor[sort][first_in_order([doc[sort], anchor[sort]])])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            anchor, doc = anchor[sort], doc[sort]
+            keep = first_in_order([doc, anchor])
+            yield anchor[keep], ids(batch)[doc[keep]], batch.column("_h").to_numpy()[doc[keep]]
 
-    flagged = sketch.build(rows.select("text"), once_each, words // 5, most_bits=most_bits)
-    shards = int(min(1 << 16, max(64, words // 1_000_000)))
+    rows, holds = flagged(rows, once_each, words // 5, most_bits)
+    shards = int(min(1 << 18, max(64, words // 1_000_000)))
     kinds = [("k1", "<u8"), ("k2", "<u4"), ("doc", "<i8"), ("h", "<i4"), ("at", "<i4")]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +136,7 @@ def repeated_windows(docs: DataFrame, n: int = WINDOW, most_bits: int = sketch.M
                 w = split_words(batch.column("text"))
                 h = w.hashes()
                 start, anchor = anchors(h, w.at, n)
-                start = start[flagged.holds(anchor)]
+                start = start[holds(anchor, batch)]
                 if not len(start):
                     continue
                 doc = np.searchsorted(w.at, start, "right") - 1

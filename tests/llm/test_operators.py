@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import arrays, components, op1_suffix_dedup, op2_fingerprints, op3_packing, op4_secret_scans, op5_substring_dedup, op6_quality_rules, op7_jaccard_join, op8_mixing, op9_license_scans, op10_quality_classifier
+from helixframe.llm import arrays, components, op1_suffix_dedup, op2_fingerprints, op3_packing, op4_secret_scans, op5_substring_dedup, op6_quality_rules, op7_jaccard_join, op8_mixing, op9_license_scans, op10_quality_classifier, sketch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _h string"
 
@@ -190,6 +190,36 @@ def test_op5_full_sketch(docs):
     assert spread(small) == spread(large)
 
 
+@pytest.mark.parametrize("flush", [sketch.FLUSH, 1, 50])
+def test_distributed_sketch(docs, none, monkeypatch, flush):
+    """A sketch too large to be sent to all tasks gives the same windows and ranges, however often partitions send."""
+    monkeypatch.setattr(sketch, "FLUSH", flush)
+    assert not sketch.fits(100, 4)
+    spread = lambda df, name, size: {(r.doc_id, r._h, x) for r in df.collect() for x in zip(*[iter(np.frombuffer(r[name], "<i4").tolist())] * size, strict=True)}
+    windows = lambda d, bits: spread(op5_substring_dedup.repeated_windows(d, 13, most_bits=bits), "starts", 1)
+    ranges = lambda d, bits: spread(op1_suffix_dedup.repeated_ranges(d, 40, 8, most_bits=bits), "ranges", 2)
+    assert windows(docs, 4) == windows(docs, 27) != set()
+    assert ranges(docs, 4) == ranges(docs, 27) != set()
+    monkeypatch.setattr(sketch, "fits", lambda *_: False)
+    assert windows(none, 27) == set() and ranges(none, 27) == set()
+
+
+def test_distributed_sketch_counts(spark):
+    """Of hashes those that occur twice come back to all documents that have them, and few others."""
+    r = random.Random(3)
+    rows = [(i, "x", r.randrange(400) if i % 3 else 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc long, text string, code long").repartition(7)
+
+    def codes(batch):
+        yield arrays.mix(batch.column("code").to_numpy().astype(np.uint64)), batch.column("doc").to_numpy(), np.zeros(batch.num_rows, np.int32)
+
+    got = {(x.doc, c) for x in sketch.spread(df, codes, 900).collect() for c in np.frombuffer(x.codes, "<u8").tolist()}
+    often = Counter(c for _, _, c in rows)
+    hashed = dict(zip(often, arrays.mix(np.array(list(often), np.uint64)).tolist(), strict=True))
+    want = {(i, hashed[c]) for i, _, c in rows if often[c] > 1}
+    assert want <= got and len(got - want) < 20
+
+
 def test_op6(docs, none, rows):
     want = Counter()
     for i, t in rows:
