@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, let, words
+from .common import documents, let, words, written
 
 K, SHINGLE = 128, 5
 
@@ -73,26 +73,47 @@ def text_form(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
+def ranged(docs: DataFrame, per_bucket: int, most_buckets: int) -> DataFrame:
+    """``docs`` with ``_b``, the range of its doc_id: an array that orders ranges as their ids, the least one for null.
+
+    Ids fall into equal ranges.  A range that holds many times its share is cut again into equal parts of what its ids
+    span, which appends a number to the array, until none does; so ids may be spread in any way.  Each cut makes a range
+    eight times narrower at least, and only a range of one id can stay large.
+    """
+    most_buckets = max(1, most_buckets)
+    (n,) = docs.agg(F.count(F.lit(1))).first()
+    share = max(1, per_bucket, -(-n // most_buckets))
+    # the first cut is that of one range that holds everything
+    docs = docs.withColumn("_b", F.when(F.col("doc_id").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint"))))
+    big = 1
+    while True:
+        large = docs.filter(F.col("doc_id").isNotNull()).groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
+        large = written(large.filter((F.col("n") > big * share) & (F.col("_high") > F.col("_low"))))
+        if large.isEmpty():
+            return docs
+        # at most n / share rows, so the table of the large ranges may be broadcast
+        wide = F.expr(f"cast((cast(_high as decimal(20,0)) - cast(_low as decimal(20,0))) div ceil(n / {share}) + 1 as decimal(20,0))")
+        large = large.select(F.col("_b").alias("_large"), wide.alias("_wide"), F.col("_low").cast("decimal(20,0)").alias("_low"))
+        docs = docs.join(F.broadcast(large), (F.col("_b") == F.col("_large")) & F.col("doc_id").isNotNull(), "left")
+        part = F.expr("cast((cast(doc_id as decimal(20,0)) - _low) div _wide as bigint)")
+        docs = docs.withColumn("_b", F.when(F.col("_large").isNull(), F.col("_b")).otherwise(F.concat("_b", F.array(part)))).drop("_large", "_low", "_wide")
+        big = 8
+
+
 def with_next(docs: DataFrame, per_bucket: int = 512, most_buckets: int = 1 << 18) -> DataFrame:
     """Every row with the row that follows in descending doc_id order (after the last one the first) as struct ``next``.
 
-    Ids fall into equal ranges; a range also gets a copy of the row that opens the next range that has rows, so one
-    shuffle by range suffices and no task sorts the whole table.  The table of ranges has at most ``most_buckets`` rows
-    of three integers, which bounds its broadcast.  Rows of one doc_id stand in the order of their text; rows without a
-    doc_id come last.  Columns of ``docs`` other than doc_id and text are not kept.
+    Ids fall into ranges of bounded size (``ranged``); a range also gets a copy of the row that opens the next range that
+    has rows, so one shuffle by range suffices and no task sorts the whole table.  The tables of ranges have some
+    ``most_buckets`` rows of a few integers for each cut, which bounds their broadcasts.  Rows of one doc_id stand in the order
+    of their text; rows without a doc_id come last.  Columns of ``docs`` other than doc_id and text are not kept.
     """
     docs = docs.select("doc_id", "text")
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    buckets = max(1, min(most_buckets, n // per_bucket))
-    wide = (high - low) // buckets + 1
-    # the value null stands below all ids
-    range_of = F.coalesce(F.expr(f"(doc_id - {low}L) div {wide}L"), F.lit(-1).cast("bigint"))
-    ranges = docs.select(F.col("doc_id").alias("id"), range_of.alias("b")).groupBy("b").agg(F.max("id").alias("opens"))
+    rows = ranged(docs, per_bucket, most_buckets)
+    ranges = rows.select(F.col("doc_id").alias("id"), F.col("_b").alias("b")).groupBy("b").agg(F.max("id").alias("opens"))
     order = Window.orderBy(F.col("b").desc())
     ranges = ranges.select("opens", F.col("b").alias("own"), F.lag("b").over(order).alias("before"), F.min("b").over(Window.partitionBy()).alias("lowest"))
     ranges = ranges.select(F.col("opens").alias("_opens"), F.col("own").alias("_own"), F.coalesce("before", "lowest").alias("_before"))
-    rows = docs.withColumn("_b", range_of)
     rows = rows.join(F.broadcast(ranges), (rows["_b"] == ranges["_own"]) & rows["doc_id"].eqNullSafe(ranges["_opens"]), "left")
     # a copy sorts after the range's own rows: it only serves the last of them
     places = F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("copy")), F.struct(F.col("_before").alias("b"), F.lit(1).alias("copy")))
