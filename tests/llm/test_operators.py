@@ -259,6 +259,26 @@ def test_op6_order(spark):
     assert [r.name for r in op6_quality_rules.ordered(rules, e)] == [rules[2].name, rules[1].name, rules[0].name]
 
 
+def test_op6_verdicts(docs, none):
+    """The cascade alone and the one with the counts keep the same documents."""
+    full = multiset(op6_quality_rules.quality_rules(docs), "doc_id", "kept")
+    alone = op6_quality_rules.verdicts(docs)
+    assert multiset(alone.withColumn("kept", F.col("rejected_by").isNull()), "doc_id", "kept") == full
+    assert alone.columns == [*docs.columns, "rejected_by"] and op6_quality_rules.verdicts(none).count() == 0
+
+
+def test_op6_skips_later_rules(spark):
+    """A rule that would raise an error on a rejected document is never asked about it, nor are its measures computed."""
+    df = spark.createDataFrame([(1, "a b c", 0), (2, "word " * 30, 1)], "doc_id long, text string, n int").repartition(1)
+    rejects = op6_quality_rules.Rule("rejects", lambda m: F.col("n") == 0)
+    fatal = op6_quality_rules.Rule("fatal", lambda m: F.when(F.col("n") == 0, F.raise_error(F.lit("asked")).cast("boolean")).otherwise(m("n_words") > 99))
+    get = op6_quality_rules.inline(F.col("text"))
+    got = df.select("doc_id", op6_quality_rules.rejected_by([rejects, fatal], get).alias("by")).collect()
+    assert {(r.doc_id, r.by) for r in got} == {(1, "rejects"), (2, None)}
+    with pytest.raises(Exception, match="asked"):
+        df.select(op6_quality_rules.rejected_by([fatal, rejects], get)).collect()
+
+
 def sets_of(rows, width):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     out = []
