@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .arrays import _BYTE_CODES, ODD_A, ODD_B, Rolling, U, flat, mix, steps
 from .common import documents, mapped
-from .op5_substring_dedup import LAST, first_in_order, flagged, ids, text_hash
+from .op5_substring_dedup import LAST, first_in_order, flagged, ids, number, text_hash
 
 LENGTH, KEY = 400, 64
 
@@ -248,11 +248,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, key: int = KEY)
     Null and empty texts have no bytes; texts shorter than ``length`` stay whole.  Repeated rows remove each other, as
     any equal strings do.  An empty table gives no rows.
     """
-    hits = repeated_ranges(docs, length, key).groupBy("doc_id", "_h").agg(F.collect_list("ranges").alias("ranges"))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "ranges")
+    hits = repeated_ranges(docs, length, key).groupBy(number().alias("_id"), F.col("_h").alias("_g")).agg(F.collect_list("ranges").alias("ranges"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), text_hash(text).alias("_h"))
-    rows = rows.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "ranges")
+    rows = rows.join(hits, (number() == F.col("_id")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:

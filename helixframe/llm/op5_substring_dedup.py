@@ -45,6 +45,11 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")).cast("int")
 
 
+def number() -> Column:
+    """The column doc_id as ``ids`` gives it: all joins by document go by it, so that they share one exchange of the texts."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST).cast("long"))
+
+
 def ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
@@ -70,8 +75,7 @@ def flagged(rows: DataFrame, hashes: Callable, expected: int, most_bits: int) ->
         return rows, lambda codes, batch: bits.holds(codes)
     own = sketch.spread(rows, hashes, expected).groupBy("doc", "_h").agg(F.collect_list("codes").alias("_codes"))
     own = own.select(F.col("doc").alias("_id"), F.col("_h").alias("_g"), "_codes")
-    number = F.coalesce("doc_id", F.lit(LAST).cast("long"))
-    rows = rows.join(own, (number == F.col("_id")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "_h", "_codes")
+    rows = rows.join(own, (number() == F.col("_id")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "_h", "_codes")
 
     def holds(codes: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
         # a hash is repeated in all documents that have it or in none, but for a few that the sketch overestimates
@@ -204,11 +208,10 @@ def remove_repeated(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     A null text has no words.  Rows with equal ids don't remove each other's words; texts shorter than a window lose
     nothing; an empty table gives no rows.
     """
-    hits = repeated_windows(docs, n).groupBy("doc_id", "_h").agg(F.collect_list("starts").alias("starts"))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "starts")
+    hits = repeated_windows(docs, n).groupBy(number().alias("_id"), F.col("_h").alias("_g")).agg(F.collect_list("starts").alias("starts"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), text_hash(text).alias("_h"))
-    rows = rows.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "starts")
+    rows = rows.join(hits, (number() == F.col("_id")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
