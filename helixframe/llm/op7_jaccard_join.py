@@ -6,13 +6,15 @@ common are a tile, in order of size, and only sizes within the band of t can lin
 parity of the shingles hashed to each bit) bound the overlap from above: the bits that differ are no more than the
 shingles that differ.  Pairs that pass are thinned to those that join parts of the tile, and their sorted sets are
 intersected exactly.  Where a pair fails, the sets of its part are compared exactly in one place (those of a very large part
-in its tiles), so no link between different sets is lost.  A count-min sketch spares shingles that only one set begins with.
+in its tiles), so no link between different sets is lost.  A count-min sketch spares shingles that only one set begins with:
+one filter for all tasks while it has room for the first shingles, else a distributed one that gives each set its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .arrays import ODD_A, Rolling, U, mix, split_words, steps, window_starts
-from .common import documents, mapped, written
+from .common import documents, mapped, release, written
 from .components import components
 from .op5_substring_dedup import first_in_order, shingle_count, text_hash
 
@@ -33,6 +35,10 @@ BITS, SETTLE_BITS = 0.5, 16.0
 #: Nodes up to which such a part's sets meet in one task; the sets of larger ones meet in the shards of their tiles.
 MOST_PART = 20_000
 LEAST_BITS, MOST_BITS = 64, 1 << 17
+#: Logarithm of the counters that the one filter of first shingles can have in a row.
+FILTER_BITS = sketch.MOST_BITS
+#: Bytes of bitmaps, with all copies, after which ``sent_by_node`` sends what it has.
+SEND_BYTES = 8 << 20
 #: Tiles of more nodes are joined node by node against the parts found so far.
 SMALL_TILE = 256
 
@@ -255,8 +261,70 @@ def shard_count(words: int) -> int:
     return int(min(1 << 16, max(64, words // 1_000_000)))
 
 
-def candidate_pairs(rows: DataFrame, join: Join, frequent: np.ndarray, shared: sketch.Filter, words: int) -> DataFrame:
-    """(a, b), a < b: nodes that may link."""
+def shard_rows(shards: int, doc: np.ndarray, token: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each shard of the first shingles (doc, token), with its nodes' sizes and bitmaps."""
+    shard = ((token >> U(40)) % U(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    doc, token, shard = doc[order], token[order], shard[order]
+    numbers, first = np.unique(shard, return_index=True)
+    columns: list[list[bytes]] = [[], [], [], []]
+    cuts = [*first.tolist(), len(shard)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        d = doc[a:b]
+        n = at[d + 1] - at[d]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[d], n)
+        for c, x in zip(columns, (token[a:b], node[d], size[d].astype("<i4"), bits[inside]), strict=True):
+            c.append(x.tobytes())
+    for i in range(0, len(numbers), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[i : i + 256], pa.int64()), *[pa.array(c[i : i + 256], pa.binary()) for c in columns]], ["shard", "token", "node", "size", "bits"])
+
+
+def shared_firsts(rows: DataFrame, join: Join, frequent: np.ndarray, expected: int) -> DataFrame:
+    """(node, codes): the first shingles of each node that another node is estimated to have too, by a distributed sketch."""
+
+    def firsts(seen: set[int], big: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in steps(big):
+            s = distinct_sets(batch, join, seen)
+            doc, token = beginnings(s, join, frequent)
+            yield token, s.node[doc], np.zeros(len(doc), np.int32)
+
+    # ``seen`` is a task's own: each gets a copy of the empty set
+    own = sketch.spread(rows.select("text"), partial(firsts, set()), expected, distinct=True)
+    return written(own.groupBy(F.col("doc").alias("node")).agg(F.collect_list("codes").alias("codes")))
+
+
+def sent_by_node(rows: DataFrame, join: Join, firsts: DataFrame, shards: int, each: float) -> DataFrame:
+    """The rows of the shards from ``shared_firsts``: nodes with sizes and bitmaps meet their shingles, texts don't travel."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for big in batches:
+            for batch in steps(big):
+                s = distinct_sets(batch, join, seen)
+                bits, at = bitmaps(s, each)
+                yield pa.RecordBatch.from_arrays([pa.array(s.node), pa.array(s.size.astype(np.int32)), pa.array([bits[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["_n", "size", "bits"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size = batch.column("node").to_numpy(), batch.column("size").to_numpy()
+            tokens = [np.unique(np.frombuffer(b"".join(c), "<u8")) for c in batch.column("codes").to_pylist()]
+            bits = [np.frombuffer(b, "<u8") for b in batch.column("bits").to_pylist()]
+            number = np.array([len(t) for t in tokens], np.int64)
+            at = np.r_[0, np.cumsum([len(b) for b in bits])].astype(np.int64)
+            # each first shingle can take a copy of its bitmap along, so a step is bounded by those
+            step = np.cumsum(number * (8 * np.diff(at) + 20)) // SEND_BYTES
+            cuts = [*np.flatnonzero(first_in_order([step])).tolist(), len(node)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield from shard_rows(shards, np.repeat(np.arange(b - a), number[a:b]), np.concatenate(tokens[a:b]), node[a:b], size[a:b], np.concatenate(bits[a:b]), at[a : b + 1] - at[a])
+
+    # a set comes once from each partition that has it; the copies are equal
+    nodes = mapped(rows.select("text"), spell, "_n long, size int, bits binary").groupBy("_n").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    met = firsts.join(nodes, F.col("node") == F.col("_n")).select("node", "codes", "size", "bits")
+    return mapped(met, send, "shard long, token binary, node binary, size binary, bits binary")
+
+
+def candidate_pairs(rows: DataFrame, join: Join, frequent: np.ndarray, shared: sketch.Filter | DataFrame, words: int) -> DataFrame:
+    """(a, b), a < b: nodes that may link.  ``shared``: a filter of the shingles that several begin with, or ``shared_firsts``."""
     shards, each = shard_count(words), BITS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,22 +334,7 @@ def candidate_pairs(rows: DataFrame, join: Join, frequent: np.ndarray, shared: s
                 s = distinct_sets(batch, join, seen)
                 doc, token = beginnings(s, join, frequent)
                 hit = shared.holds(token)
-                doc, token = doc[hit], token[hit]
-                bits, at = bitmaps(s, each)
-                shard = ((token >> U(40)) % U(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                doc, token, shard = doc[order], token[order], shard[order]
-                numbers, first = np.unique(shard, return_index=True)
-                columns: list[list[bytes]] = [[], [], [], []]
-                cuts = [*first.tolist(), len(shard)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    d = doc[a:b]
-                    n = at[d + 1] - at[d]
-                    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[d], n)
-                    for c, x in zip(columns, (token[a:b], s.node[d], s.size[d].astype("<i4"), bits[inside]), strict=True):
-                        c.append(x.tobytes())
-                for i in range(0, len(numbers), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers[i : i + 256], pa.int64()), *[pa.array(c[i : i + 256], pa.binary()) for c in columns]], ["shard", "token", "node", "size", "bits"])
+                yield from shard_rows(shards, doc[hit], token[hit], s.node, s.size, *bitmaps(s, each))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -310,7 +363,10 @@ def candidate_pairs(rows: DataFrame, join: Join, frequent: np.ndarray, shared: s
                 held.append([np.frombuffer(c, t) for c, t in zip(columns, ("<u8", "<i8", "<i4", "<u8"), strict=True)])
         yield from pairs()
 
-    sent = mapped(rows.select("text"), send, "shard long, token binary, node binary, size binary, bits binary")
+    if isinstance(shared, DataFrame):
+        sent = sent_by_node(rows, join, shared, shards, each)
+    else:
+        sent = mapped(rows.select("text"), send, "shard long, token binary, node binary, size binary, bits binary")
     return mapped(sent.repartition(F.col("shard")).sortWithinPartitions("shard"), meet, "a long, b long").distinct()
 
 
@@ -415,7 +471,7 @@ def settled(rows: DataFrame, parts: DataFrame, join: Join) -> DataFrame:
     return mapped(met.repartition(F.col("root")).sortWithinPartitions("root"), settle, "a long, b long")
 
 
-def settled_in_tiles(rows: DataFrame, only: sketch.Filter, join: Join, frequent: np.ndarray, shared: sketch.Filter, words: int) -> DataFrame:
+def settled_in_tiles(rows: DataFrame, only: sketch.Filter, join: Join, frequent: np.ndarray, shared: sketch.Filter | DataFrame, words: int) -> DataFrame:
     """(a, b): exact links, enough to connect what is connected among the nodes that the filter holds.
 
     A set goes once to each shard of its first shingles; there its tiles are linked exactly, so a shard gives fewer pairs
@@ -423,6 +479,18 @@ def settled_in_tiles(rows: DataFrame, only: sketch.Filter, join: Join, frequent:
     """
     shards = shard_count(words)
 
+    def whole(s: Sets, doc: np.ndarray, token: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row for each shard of each set, with the set."""
+        shard = ((token >> U(40)) % U(shards)).astype(np.int64)
+        order = np.lexsort((doc, shard))
+        doc, token, shard = doc[order], token[order], shard[order]
+        cuts = np.r_[np.flatnonzero(first_in_order([shard, doc])), len(shard)]
+        for k in range(0, len(cuts) - 1, 256):
+            spans = [(int(a), int(b)) for a, b in zip(cuts[k : k + 256], cuts[k + 1 : k + 257], strict=False)]
+            sets = [s.tokens[s.at[doc[a]] : s.at[doc[a] + 1]].tobytes() for a, _ in spans]
+            first = [a for a, _ in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(s.node[doc[first]]), pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(sets, pa.binary())], ["shard", "node", "first", "tokens"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for big in batches:
@@ -431,16 +499,13 @@ def settled_in_tiles(rows: DataFrame, only: sketch.Filter, join: Join, frequent:
                 s = pick(s, np.flatnonzero(only.holds(s.node.view(U))))
                 doc, token = beginnings(s, join, frequent)
                 hit = shared.holds(token)
-                doc, token = doc[hit], token[hit]
-                shard = ((token >> U(40)) % U(shards)).astype(np.int64)
-                order = np.lexsort((doc, shard))
-                doc, token, shard = doc[order], token[order], shard[order]
-                cuts = np.r_[np.flatnonzero(first_in_order([shard, doc])), len(shard)]
-                for k in range(0, len(cuts) - 1, 256):
-                    spans = [(int(a), int(b)) for a, b in zip(cuts[k : k + 256], cuts[k + 1 : k + 257], strict=False)]
-                    whole = [s.tokens[s.at[doc[a]] : s.at[doc[a] + 1]].tobytes() for a, _ in spans]
-                    first = [a for a, _ in spans]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(s.node[doc[first]]), pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(whole, pa.binary())], ["shard", "node", "first", "tokens"])
+                yield from whole(s, doc[hit], token[hit])
+
+    def send_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, codes, tokens in zip(*[batch.column(c).to_pylist() for c in ("node", "codes", "tokens")], strict=True):
+                tokens, first = np.frombuffer(tokens, U), np.unique(np.frombuffer(b"".join(codes), "<u8"))
+                yield from whole(Sets(tokens, np.array([0, len(tokens)]), np.array([node], np.int64)), np.zeros(len(first), np.int64), first)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, {}
@@ -464,7 +529,11 @@ def settled_in_tiles(rows: DataFrame, only: sketch.Filter, join: Join, frequent:
                 held.setdefault(node, (np.frombuffer(first, U), np.frombuffer(tokens, U)))
         yield from pairs()
 
-    sent = mapped(rows.select("text"), send, "shard long, node long, first binary, tokens binary")
+    if isinstance(shared, DataFrame):
+        met = shared.join(spelled_sets(rows, only, join).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("node", "codes", "tokens")
+        sent = mapped(met, send_met, "shard long, node long, first binary, tokens binary")
+    else:
+        sent = mapped(rows.select("text"), send, "shard long, node long, first binary, tokens binary")
     return mapped(sent.repartition(F.col("shard")).sortWithinPartitions("shard"), meet, "a long, b long").distinct()
 
 
@@ -477,9 +546,14 @@ def links(rows: DataFrame, join: Join) -> DataFrame:
         seen: set[int] = set()
         return np.concatenate([beginnings(distinct_sets(batch, join, seen), join, frequent)[1] for batch in steps(big)] or [np.zeros(0, U)])
 
-    shared = sketch.build(rows.select("text"), first_ones, int(words * (1 - join.share / 100)))
+    expected = words * (100 - join.share) // 100
+    # a filter without room lets all first shingles pass, each with a bitmap: many times the texts
+    shared = sketch.build(rows.select("text"), first_ones, expected) if sketch.fits(expected, FILTER_BITS) else shared_firsts(rows, join, frequent, expected)
+    release(rows.sparkSession)
     pairs = written(candidate_pairs(rows, join, frequent, shared, words))
+    release(rows.sparkSession)
     told = written(verified(rows, pairs, join))
+    release(rows.sparkSession)
     found, failed = told.filter("linked").select("a", "b"), told.filter("not linked")
     if failed.isEmpty():
         return found

@@ -333,6 +333,29 @@ def test_op7(spark, docs, none, rows, monkeypatch, width, share, tile, part):
     assert multiset(got, "doc_id", "n_shingles", "component_id") == brute_components(mine, width, share)
 
 
+@pytest.mark.parametrize("part", [20_000, 2])
+def test_op7_distributed_sketch(spark, rows, monkeypatch, part):
+    """Where no filter has room, first shingles of one set alone still don't travel with bitmaps, and no link is lost."""
+    monkeypatch.setattr(op7_jaccard_join, "FILTER_BITS", 4)
+    monkeypatch.setattr(op7_jaccard_join, "SEND_BYTES", 5000)
+    monkeypatch.setattr(op7_jaccard_join, "MOST_PART", part)
+    monkeypatch.setattr(sketch, "FLUSH", 200)
+    join = op7_jaccard_join.Join(5, 80)
+    mine = [*rows, *[(10_000 + i, t) for i, t in family()], *[(20_000 + i, " ".join(f"v{i}x{j}" for j in range(200))) for i in range(60)]]
+    df = table(spark, mine, parts=5)
+    got = op7_jaccard_join.jaccard_components(df, join)
+    assert multiset(got, "doc_id", "n_shingles", "component_id") == brute_components(mine, 5, 80)
+    frequent = op7_jaccard_join.frequent_shingles(df, join)
+    sets = op7_jaccard_join.shingle_sets(pa.array([t for _, t in mine if t], pa.string()), join)
+    of, first = op7_jaccard_join.beginnings(sets, join, frequent)
+    nodes = {}
+    for d, t in zip(of.tolist(), first.tolist(), strict=True):
+        nodes.setdefault(t, set()).add(int(sets.node[d]))
+    shared = {(n, t) for t, some in nodes.items() if len(some) > 1 for n in some}
+    sent = {(r.node, c) for r in op7_jaccard_join.shared_firsts(df, join, frequent, len(first)).collect() for x in r.codes for c in np.frombuffer(x, "<u8").tolist()}
+    assert shared <= sent and len(sent - shared) < 0.05 * len(first)
+
+
 def test_op7_large_part_without_all_pairs(spark, monkeypatch):
     """A large part in which pairs fail is settled without sending all its pairs to the exact test."""
     r = random.Random(8)
