@@ -239,10 +239,10 @@ def frequent_shingles(rows: DataFrame, join: Join) -> np.ndarray:
 
     least = max(3, int(FREQUENT * min(n, SAMPLE_DOCS)))
     counts = mapped(sample.select("text"), spell, "token long").groupBy("token").count().filter(F.col("count") >= least)
-    got = counts.orderBy(F.col("count").desc(), "token").limit(MOST_FREQUENT).collect()
-    if not got:
+    got = counts.orderBy(F.col("count").desc(), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    if not len(got):
         return np.zeros((0, 0), U)
-    tokens = np.array([r.token for r in got], np.int64).view(U)
+    tokens = got.column("token").to_numpy().astype(np.int64).view(U)
     ranks = np.arange(len(got), 0, -1).astype(U)
     order = np.argsort(tokens)
     return np.stack([tokens[order], ranks[order]])
@@ -582,6 +582,7 @@ def classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
 
     own = written(mapped(rows, sizes, f"doc_id {kind}, _h int, n_shingles long, _node long"))
     roots = components(links(rows, join), "a", "b")
+    release(docs.sparkSession)
     # minima come before the exchanges, so equal sets cost one row a partition
     nodes = own.filter("n_shingles > 0").groupBy("_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("_least"), F.min("doc_id").alias("_id"))
     nodes = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_root"), "_least", "_id")

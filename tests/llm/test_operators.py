@@ -400,6 +400,22 @@ def test_components(spark):
     assert got == {(x, root(x)) for x in linked}
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_components_in_rounds_and_at_once(spark, monkeypatch, most):
+    """Both ways give the smallest node of each component; a few links cost a bounded number of jobs, as long as chains may be."""
+    monkeypatch.setattr(components, "AT_ONCE", most)
+    r = random.Random(6)
+    names = r.sample(range(-(10**12), 10**12), 90)
+    edges = [(names[i], names[i + 1]) for i in range(49)] + [(names[50], names[i]) for i in range(51, 70)] + [(names[80], names[80])]
+    up = {x: min(part) for part in (names[:50], names[50:70]) for x in part}
+    tracker, group = spark.sparkContext.statusTracker(), f"components-{most}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {(x.node, x.root) for x in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == set(up.items())
+    assert not most or len(tracker.getJobIdsForGroup(group)) < 10
+    assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
 def test_op8(docs, none, rows, spark):
     out, figures = op8_mixing.mix_to_targets(docs, F.array("source"), op8_mixing.word_count(F.col("text")), op8_mixing.default_targets)
     sizes, taken = Counter(), Counter()
